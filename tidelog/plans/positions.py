@@ -12,20 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one bucket is meant to hold, and the most buckets. 4,096 cuts are a literal of 32 KB.
+#: Rows that one bucket is meant to hold, and the most buckets.
 ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 4_096
+MAX_BUCKETS = 1_024
 LONG_MAX = (1 << 63) - 1
 
 
 def quantile_bounds(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[int]:
     """At most MAX_BUCKETS - 1 cuts of the integer column ``key``, so that buckets have about equal row counts."""
-    probs = [i / 1024 for i in range(1, 1024)]
+    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
     row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, probs, 10_000).alias("q")).first()
-    buckets = min(MAX_BUCKETS, 1024, max(1, -(-row["n"] // rows_per_bucket)))
+    buckets = min(MAX_BUCKETS, max(1, -(-row["n"] // rows_per_bucket)))
     if buckets == 1 or not row["q"]:
         return []
-    return sorted({int(row["q"][min(1022, round(i * 1024 / buckets) - 1)]) for i in range(1, buckets)})
+    return sorted({int(row["q"][min(MAX_BUCKETS - 2, round(i * MAX_BUCKETS / buckets) - 1)]) for i in range(1, buckets)})
 
 
 def bucket_of(key: Column, bounds: Sequence[int]) -> Column:

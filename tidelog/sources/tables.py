@@ -18,14 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and written tables, as a URI.
 
     It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in tests on one machine,
-    a local folder is made and set.
+    a local folder is made.
     """
-    at = spark.conf.get(SHARED, None)
+    context = spark.sparkContext
+    at = context.getConf().get(SHARED) or context.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set(SHARED, at)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidelog-"))
+        at = context.getCheckpointDir()
     return at.rstrip("/")
 
 
