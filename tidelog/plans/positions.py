@@ -12,20 +12,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one bucket is meant to hold, and the most buckets.
+#: Rows that one bucket is meant to hold; quantiles that are taken; the most buckets (a literal of 256 KB).
 ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 1_024
+QUANTILES = 1_024
+MAX_BUCKETS = 32_768
 LONG_MAX = (1 << 63) - 1
 
 
 def quantile_bounds(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[int]:
-    """At most MAX_BUCKETS - 1 cuts of the integer column ``key``, so that buckets have about equal row counts."""
-    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+    """At most MAX_BUCKETS - 1 cuts of the integer column ``key``, so that buckets have about equal row counts.
+
+    Beyond QUANTILES buckets, the stretches between quantiles are cut evenly.
+    """
+    probs = [i / QUANTILES for i in range(QUANTILES + 1)]
     row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, probs, 10_000).alias("q")).first()
     buckets = min(MAX_BUCKETS, max(1, -(-row["n"] // rows_per_bucket)))
     if buckets == 1 or not row["q"]:
         return []
-    return sorted({int(row["q"][min(MAX_BUCKETS - 2, round(i * MAX_BUCKETS / buckets) - 1)]) for i in range(1, buckets)})
+    q, cuts = row["q"], set()
+    for i in range(1, buckets):
+        k, rest = divmod(i * QUANTILES, buckets)
+        cuts.add(int(q[k]) + (int(q[k + 1]) - int(q[k])) * rest // buckets)
+    return sorted(cuts)
 
 
 def bucket_of(key: Column, bounds: Sequence[int]) -> Column:
