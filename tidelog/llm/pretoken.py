@@ -19,6 +19,10 @@ def sure(text: str) -> bool:
     return not _UNSURE.search(text)
 
 
+#: The pre-tokens of a text that is sure.
+split_sure = _FAST.findall
+
+
 def split(text: str) -> list[str]:
     """The pre-tokens of a text; joined they are the text again."""
     return (_FULL if _UNSURE.search(text) else _FAST).findall(text)

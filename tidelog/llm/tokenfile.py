@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as tx
-from tidelog.llm.pretoken import split, sure
+from tidelog.llm.pretoken import split_sure, sure
 from tidelog.plans.positions import bucket_of, quantile_bounds, with_running
 from tidelog.sources.tables import scratch
 
@@ -131,7 +131,7 @@ class TokenFile:
 class Pieces:
     """Pre-token to id bytes, made in batches by the tokenizers library; two generations of ``size`` are kept."""
 
-    def __init__(self, content: bytes, size: int = 250_000):
+    def __init__(self, content: bytes, size: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -163,7 +163,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The id bytes of each text. Texts with characters on which the engines might differ go whole to the library."""
         plain = [sure(x) for x in texts]
-        cut = [split(x) if ok else [] for x, ok in zip(texts, plain)]
+        cut = [split_sure(x) if ok else [] for x, ok in zip(texts, plain)]
         self.learn(cut)
         get = self.new.__getitem__
         out = [b"".join(map(get, pieces)) if ok else np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.type).tobytes() for x, ok, pieces in zip(texts, plain, cut)]
