@@ -20,7 +20,7 @@ from tidelog.llm import text as tx
 from tidelog.sources.tables import written
 
 #: Words in a shingle; registers; registers in a band and bands; similarity from which texts are linked.
-SHINGLE, REGISTERS, BAND, BANDS, THRESHOLD = 3, 256, 4, 32, 0.55
+SHINGLE, REGISTERS, BAND, BANDS, THRESHOLD = 3, 256, 4, 48, 0.5
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 256
 
