@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as tx
@@ -99,7 +99,7 @@ def similarity(equal: np.ndarray) -> np.ndarray:
 def _signed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """node (of the signature), t1 and t2 (of the text), key, small signature and bands: null for wordless texts."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("key", F.xxhash64("text").alias("t1"), F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("bigint").alias("t2"), "text")
+    rows = rows.select("key", *_identity("text"), "text")
 
     def run(batches):
         for part, a, off in tx.steps(batches):
@@ -205,16 +205,16 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, ``class_id``, ``text_id``, ``n_copies``, ``n_links``: one row per input row.
+def _identity(text: str) -> list[Column]:
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [F.xxhash64(value).alias("t1"), F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("bigint").alias("t2")]
 
-    ``class_id`` is the smallest key in the group of near duplicates (texts connected by links), ``text_id`` the
-    smallest key with the same text, ``n_copies`` the rows with it, and ``n_links`` how many different other texts
-    have a similarity of ``threshold`` or more. Null and empty texts are equal to each other only, as are texts
-    without words. Keys may repeat or be null; a group of null keys only has a null id.
-    """
+
+def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row a different text: t1 and t2, which stand for it, ``text_id``, ``n_copies``, ``n_links``, ``class_id``
+    and ``head``, true for one text of each class, which has the class's id."""
     signed = _signed_texts(docs, key, text)
-    # One row a different text; copies are counted on the way, before the shuffle.
+    # Copies are counted before the shuffle.
     texts = written(signed.groupBy("t1", "t2").agg(F.min("key").alias("text_id"), F.count(F.lit(1)).alias("n_copies"), F.first("node").alias("node"), F.first("marks").alias("marks"), F.first("bands").alias("bands")), "texts")
     nodes = texts.where("node is not null").groupBy("node").agg(F.first("marks").alias("marks"), F.first("bands").alias("bands"))
     links = written(_links(nodes, threshold), "links")
@@ -230,7 +230,28 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
         .select("t1", "t2", "text_id", "n_copies", (F.coalesce("texts", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     )
     known = written(known, "known")
-    groups = known.where("root is not null").groupBy("root").agg(F.min("text_id").alias("group_id"))
-    named = known.join(groups, "root", "left").select("t1", "t2", "text_id", "n_copies", "n_links", F.when(F.col("root").isNull(), F.col("text_id")).otherwise(F.col("group_id")).alias("class_id"))
-    rows = docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("t1"), F.conv(F.substring(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint").alias("t2"))
-    return rows.join(named, ["t1", "t2"]).select(key, "class_id", "text_id", "n_copies", "n_links")
+    # A null id comes after all others.
+    order = F.struct(F.col("text_id").isNull().alias("none"), F.col("text_id").alias("id"), "t1", "t2")
+    groups = known.where("root is not null").groupBy("root").agg(F.min(order).alias("least"))
+    named = known.join(groups, "root", "left")
+    alone = F.col("root").isNull()
+    return named.select("t1", "t2", "text_id", "n_copies", "n_links", F.when(alone, F.col("text_id")).otherwise(F.col("least.id")).alias("class_id"), (alone | ((F.col("t1") == F.col("least.t1")) & (F.col("t2") == F.col("least.t2")))).alias("head"))
+
+
+def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """key, ``class_id``, ``text_id``, ``n_copies``, ``n_links``: one row per input row.
+
+    ``class_id`` is the smallest key in the group of near duplicates (texts connected by links), ``text_id`` the
+    smallest key with the same text, ``n_copies`` the rows with it, and ``n_links`` how many different other texts
+    have a similarity of ``threshold`` or more. A null text is an empty one. Texts without words are alike only if
+    equal. Keys may repeat or be null; a group of null keys only has a null id.
+    """
+    classes = text_classes(docs, key, text, threshold).drop("head")
+    return docs.select(F.col(key), *_identity(text)).join(classes, ["t1", "t2"]).select(key, "class_id", "text_id", "n_copies", "n_links")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class: one with the class's id."""
+    heads = text_classes(docs, key, text, threshold).where("head").select("t1", "t2", "text_id")
+    rows = docs.select(*_identity(text), F.col(key).alias("k"), F.struct("*").alias("row")).join(heads, ["t1", "t2"]).where(F.col("k").eqNullSafe(F.col("text_id")))
+    return rows.groupBy("t1", "t2").agg(F.first("row").alias("row")).select("row.*")

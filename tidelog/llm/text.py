@@ -15,7 +15,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def steps(batches, column: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def steps(batches, column: str | int = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets): rows whose texts have about ``limit`` bytes in all, at least one row.
 
     ``bytes`` are the texts end to end, ``offsets`` their bounds. A null text is empty. No text is split.

@@ -209,18 +209,26 @@ def score(docs: DataFrame, model: Model, keep: list[str] | tuple[str, ...] = ("d
     Whole texts are scored, null ones as empty. Nothing but the text counts. The model, some 40 KB, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.dump())
-    rows = docs.select(F.col(text).cast("string").alias("__text"), *[F.col(c) for c in keep])
-    schema = T.StructType(rows.select(*keep).schema.fields + T.StructType.fromDDL("score double, predicted int").fields)
+    names = list(keep)
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], *[] if text in names else [F.col(f"`{text}`")])
+    at, count = rows.columns.index(text), len(names)
+    schema = T.StructType(rows.schema.fields[:count] + T.StructType.fromDDL("score double, predicted int").fields)
 
     def run(batches):
         scorer = _scorer(shared.value)
-        for part, a, off in tx.steps(batches, "__text"):
+        for part, a, off in tx.steps(batches, at):
             s = scorer.scores(a, off)
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:count], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that the model calls toxic."""
+    marked = score(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), fit(training_sample(docs, labels, key, text)), ["row"])
+    return marked.where("predicted = 0").select("row.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``score`` under a model that is fitted first, on the sample of ``docs`` with ``labels``."""
     return score(docs, fit(training_sample(docs, labels, key, text)), keep, text)
