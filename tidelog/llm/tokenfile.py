@@ -128,8 +128,14 @@ class TokenFile:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
-class Pieces:
-    """Pre-token to id bytes, made in batches by the tokenizers library; two generations of ``size`` are kept."""
+class Pieces(dict):
+    """Pre-token to a place in ``parts``, the id bytes, which the tokenizers library makes in batches.
+
+    Two generations of ``size`` pre-tokens are kept.
+    """
+
+    #: Words joined by line feeds are pre-tokens of their own in one text, which is quicker than as many texts.
+    JOINED = 100
 
     def __init__(self, content: bytes, size: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -139,36 +145,50 @@ class Pieces:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.uint16 if self.width == 2 else np.uint32
-        self.size, self.new, self.old = size, {}, {}
-
-    def learn(self, cut: list[list[str]]) -> None:
-        wanted = set().union(*cut) - self.new.keys()
-        fresh = []
-        for piece in wanted:
-            known = self.old.get(piece)
-            if known is None:
-                fresh.append(piece)
-            else:
-                self.new[piece] = known
-        if fresh:
-            found = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-            words = np.array(found.word_ids, np.int64)
-            ids = np.array(found.ids, self.type).tobytes()
-            ends = (np.searchsorted(words, np.arange(len(fresh)), side="right") * self.width).tolist()
-            at = 0
-            for piece, end in zip(fresh, ends):
-                self.new[piece] = ids[at:end]
-                at = end
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.size = size
+        self.old: dict[str, bytes] = {}
+        self.parts: list = []
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        at = self[piece] = len(self.parts)
+        known = self.old.get(piece)
+        self.parts.append(known)
+        if known is None:
+            self.fresh.append(piece)
+        return at
+
+    def _learn(self) -> None:
+        words = [p for p in self.fresh if self.feed is not None and p.removeprefix(" ").isalpha()]
+        if words:
+            joined = ["\n".join(words[i : i + self.JOINED]) + "\n" for i in range(0, len(words), self.JOINED)]
+            ids = np.concatenate([np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) != len(words):
+                raise ValueError("words and line feeds don't alternate")
+            data, at = ids.tobytes(), 0
+            for piece, end in zip(words, (ends * self.width).tolist()):
+                self.parts[self[piece]] = data[at:end]
+                at = end + self.width
+        others = [p for p in self.fresh if self.parts[self[p]] is None]
+        if others:
+            for piece, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+                self.parts[self[piece]] = np.array(found.ids, self.type).tobytes()
+        self.fresh = []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The id bytes of each text. Texts with characters on which the engines might differ go whole to the library."""
-        plain = [sure(x) for x in texts]
-        cut = [split_sure(x) if ok else [] for x, ok in zip(texts, plain)]
-        self.learn(cut)
-        get = self.new.__getitem__
-        out = [b"".join(map(get, pieces)) if ok else np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.type).tobytes() for x, ok, pieces in zip(texts, plain, cut)]
-        if len(self.new) > self.size:
-            self.old, self.new = self.new, {}
+        place = self.__getitem__
+        cut = [list(map(place, split_sure(x))) if sure(x) else None for x in texts]
+        self._learn()
+        part = self.parts.__getitem__
+        out = [b"".join(map(part, c)) if c is not None else np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.type).tobytes() for x, c in zip(texts, cut)]
+        if len(self) > self.size:
+            self.old = {p: self.parts[at] for p, at in self.items()}
+            self.clear()
+            self.parts = []
         return out
 
 
