@@ -1,8 +1,7 @@
 """Every registered query of the engine against its SQL."""
 
 import pytest
-from conftest import SF
-from oracle import assert_same, connection
+from oracle import SF, assert_same, connection
 
 import __spark_entry__
 from tidelog import catalog_queries as cq
