@@ -145,7 +145,10 @@ def repeat(docs: DataFrame, weights: Mapping | None = None, source: str = "sourc
     edge = ranked.withColumnRenamed("s", "own").join(F.broadcast(turns), F.col("own").eqNullSafe(F.col("s"))).where("rank < more").groupBy(F.col("own").alias("e")).agg(F.max("k").alias("edge"), F.count(F.lit(1)).alias("some"), F.max(F.col("k").isNull()).alias("all"))
     # One row a source: at most MAX_SOURCES + 1.
     known = turns.join(edge, F.col("s").eqNullSafe(F.col("e")), "left").select("s", "turns", "edge", F.coalesce("all", F.lit(False)).alias("all"), F.coalesce("some", F.lit(0)).alias("some"))
-    known = known.select(F.struct("s", "turns", "edge", "all", "some").alias("__mix"))
-    joined = docs.join(F.broadcast(known), _source_name(source, sizes).eqNullSafe(F.col("__mix.s")))
-    more = F.when(F.col("__mix.some") == 0, 0).when(F.col("__mix.all"), 1).otherwise(F.coalesce((F.col(key) <= F.col("__mix.edge")).cast("int"), F.lit(0)))
-    return joined.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__mix.turns") + more))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark, turn = "mix", "turn"
+    while {mark, turn} & set(docs.columns):
+        mark, turn = mark + "_", turn + "_"
+    known = known.select(F.struct("s", "turns", "edge", "all", "some").alias(mark))
+    joined = docs.join(F.broadcast(known), _source_name(source, sizes).eqNullSafe(F.col(f"{mark}.s")))
+    more = F.when(F.col(f"{mark}.some") == 0, 0).when(F.col(f"{mark}.all"), 1).otherwise(F.coalesce((F.col(key) <= F.col(f"{mark}.edge")).cast("int"), F.lit(0)))
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(f"{mark}.turns") + more))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -66,7 +66,7 @@ def _cut(a: np.ndarray, off: np.ndarray, window: int, anchor: int):
 
 def _keyed(docs: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
     """Rows with a key of two numbers. Rows alike in it have the same text, so they may share an answer."""
-    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_KEY)).alias("k1"), F.xxhash64(F.col(text)).alias("k2"), F.struct(*[F.col(c) for c in keep]).alias("row") if keep else F.lit(0).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_KEY)).alias("k1"), F.xxhash64(F.col(text)).alias("k2"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row") if keep else F.lit(0).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return rows
 
 
@@ -196,6 +196,9 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     A text that loses nothing stays as it is, null too; one that loses all becomes empty. No row goes.
     """
     keep = [c for c in docs.columns if c != text]
+    was_null = "null"
+    while was_null in keep:
+        was_null += "_"
 
     def make(texts, a, off, start, end, bounds, gone):
         sums = np.concatenate(([0], np.cumsum(gone)))
@@ -213,5 +216,5 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             out.append(a[piece][~drop[piece]].tobytes().decode() if lost[i] else plain[i])
         return (pa.array(out, pa.string()),)
 
-    stripped = _applied(docs.withColumn("__null", F.col(text).isNull()), [*keep, "__null"], key, text, window, anchor, f"`{text}` string", make)
-    return stripped.select(*[F.when(F.col("__null"), F.lit(None)).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns])
+    stripped = _applied(docs.withColumn(was_null, F.col(text).isNull()), [*keep, was_null], key, text, window, anchor, f"`{text}` string", make)
+    return stripped.select(*[F.when(F.col(was_null), F.lit(None)).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
