@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from tidelog.llm import text as tx
 from tidelog.llm.pretoken import Memo, split
 
+#: Pre-tokens that a worker remembers in a generation; two generations are some 200 MB.
+MEMO_SIZE = 450_000
 _M = (1 << 64) - 1
 
 
@@ -88,7 +90,7 @@ class Codec:
         self.shift = max(ranks.values()).bit_length()
         #: (left id, right id) to the id of both together
         self.pairs = {ranks[b[:i]] << self.shift | ranks[b[i:]]: r for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks}
-        self.pieces: Memo = Memo(lambda piece: np.array(self.encode_piece(piece.encode()), np.uint32).tobytes())
+        self.pieces: Memo = Memo(lambda piece: np.array(self.encode_piece(piece.encode()), np.uint32).tobytes(), MEMO_SIZE)
 
     @classmethod
     def parse(cls, content: bytes) -> Codec:
