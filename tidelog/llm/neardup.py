@@ -23,6 +23,9 @@ from tidelog.sources.tables import written
 SHINGLE, REGISTERS, BAND, BANDS, THRESHOLD = 3, 256, 4, 48, 0.5
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 256
+#: A pair is told in the first of its shared bands only: in so many of those that its 8-bit registers agree in. They
+#: agree in a band that isn't shared with a chance of some 1 in 100, in three before the first shared one hardly ever.
+TOLD = 3
 
 _BREAK = tx.SPACE.copy()
 _BREAK[[b for b in range(33, 128) if not chr(b).isalnum()]] = True
@@ -119,33 +122,41 @@ def _signed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _compare(batches, threshold: float):
-    """Rows (bucket, i, j, node, side, marks) sorted by the first three: the verified pairs of each group."""
+    """Rows (bucket, i, j, block, band, node, marks) sorted by the first three: the verified pairs of each group."""
     waiting: pa.Table | None = None
 
     def links(table: pa.Table):
         group = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
         node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        band = table.column("band").to_numpy()
         marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(node), -1)
+
+        def keep(x, y):
+            """The verified pairs of rows x and y that are told here."""
+            equal = marks[x] == marks[y]
+            ok = np.flatnonzero((similarity(equal.mean(1)) >= threshold) & (node[x] != node[y]))
+            equal, x, y = equal[ok], x[ok], y[ok]
+            shared = equal[:, : BAND * BANDS].reshape(len(ok), BANDS, BAND).all(2)
+            first = (np.cumsum(shared, 1)[np.arange(len(ok)), band[x]] <= TOLD) if len(ok) else np.zeros(0, bool)
+            return np.minimum(node[x], node[y])[first], np.maximum(node[x], node[y])[first]
+
         head = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(1))))
         size = np.diff(np.append(head, len(node)))
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         two = head[size == 2]
         for at in range(0, len(two), 4096):
-            x = two[at : at + 4096]
-            out.append((node[x], node[x + 1], similarity((marks[x] == marks[x + 1]).mean(1))))
+            out.append(keep(two[at : at + 4096], two[at : at + 4096] + 1))
         for x, n in zip(head[size > 2].tolist(), size[size > 2].tolist()):
             i, j = group[x, 1:]
             rows = np.arange(x, x + n)
             left, right = (rows, rows) if i == j else (rows[block[x : x + n] == i], rows[block[x : x + n] == j])
             for at in range(0, len(left), 16):
                 part = left[at : at + 16]
-                s = similarity((marks[part][:, None] == marks[right][None]).mean(2))
-                p, q = np.nonzero(s >= threshold)
-                out.append((node[part[p]], node[right[q]], s[p, q]))
-        a, b, s = (np.concatenate(c) for c in zip(*out))
-        ok = (s >= threshold) & (a != b)
-        # A pair comes up in each bucket that it shares: here once.
-        pair = np.unique(np.stack([np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])], 1), axis=0) if ok.any() else np.zeros((0, 2), np.int64)
+                p, q = np.repeat(part, len(right)), np.tile(right, len(part))
+                once = (p < q) if i == j else np.ones(len(p), bool)
+                out.append(keep(p[once], q[once]))
+        pair = np.stack([np.concatenate(c) for c in zip(*out)], 1)
+        pair = np.unique(pair, axis=0) if len(pair) else pair
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
     for batch in batches:
@@ -167,13 +178,13 @@ def _compare(batches, threshold: float):
 
 def _links(nodes: DataFrame, threshold: float) -> DataFrame:
     """Verified pairs (a < b) of nodes that share a bucket."""
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = buckets.join(full, "bucket").select("bucket", "node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = buckets.join(full, "bucket").select("bucket", "band", "node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    laid = members.select("bucket", "node", "block", other.alias("other")).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
-    with_marks = laid.join(nodes.select("node", "marks"), "node").select("bucket", "i", "j", "block", "node", "marks")
+    laid = members.select("bucket", "band", "node", "block", other.alias("other")).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "node")
+    with_marks = laid.join(nodes.select("node", "marks"), "node").select("bucket", "i", "j", "block", "band", "node", "marks")
     # Groups hold at most about 2 x BLOCK rows, so a sort within hash partitions is enough to stream them.
     parts = with_marks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return parts.mapInArrow(lambda batches: _compare(batches, threshold), "a bigint, b bigint").distinct()
