@@ -65,13 +65,13 @@ def test_toxicity_learns_without_held_out_rows(spark, documents, labels):
     if not os.path.isdir(big):
         pytest.skip("no larger table")
     docs, known = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
-    sample = toxicity.training_sample(docs, known)
+    sample, share = toxicity.training_sample(docs, known)
     held = {r.doc_id for r in docs.where(toxicity.held_out(docs.doc_id)).collect()}
     assert held == {r.doc_id for r in docs.select("doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
     truth = {r.doc_id: r.toxic for r in known.collect()}
     kept_out = {r.text.encode() for r in docs.collect() if r.doc_id in held}
     assert not any(t in kept_out for _, t in sample) or len({t for _, t in sample} & kept_out) < 0.2 * len(sample)  # copies aside
-    scores = [(truth[r.doc_id], r.score, r.predicted) for r in toxicity.score(docs, toxicity.fit(sample)).collect() if r.doc_id in held and r.doc_id in truth]
+    scores = [(truth[r.doc_id], r.score, r.predicted) for r in toxicity.score(docs, toxicity.fit(sample, share)).collect() if r.doc_id in held and r.doc_id in truth]
     y, s, p = (np.array(c) for c in zip(*scores))
     order = s.argsort(kind="stable")
     rank = np.empty(len(s))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import pickle
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +28,11 @@ from tidelog.llm import text as tx
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 8, 32_768, 4_096, 3
 #: The bounded training sample: documents of each label, those with the smallest hashes of their ids, and bytes of
 #: text in all. Whole texts are taken, in hash order, as long as the bytes last.
-MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_BYTES = 5_000, 10_000, 64_000_000
-#: The part of the sample that trains dictionaries; the rest calibrates.
-DICTIONARY_PART = 0.6
+MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_BYTES = 2_000, 10_000, 64_000_000
+#: Windows, and runs round toxic words, that a dictionary is trained on.
+MAX_SAMPLES = 40_000
+#: The parts of the sample's ordinary and toxic documents that train dictionaries; the rest calibrates.
+DICTIONARY_PART = {0: 0.75, 1: 0.6}
 #: A word is toxic only if it stands between as many different pairs of words as this part of the toxic documents,
 #: and two at least. Near copies of one document show a word in one place only.
 MIN_SHARE = 0.01
@@ -130,36 +132,41 @@ def _trained(size: int, samples: list[bytes], k: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[:size]
 
 
-def fit(sample: list[tuple[int, bytes]]) -> Model:
-    """From (toxic 0 or 1, text) rows. Without toxic and ordinary rows, or without toxic words, all scores are 0."""
+def fit(sample: list[tuple[int, bytes]], share: float | None = None) -> Model:
+    """From (toxic 0 or 1, text) rows. ``share`` is the part of all labelled rows that is toxic, which the calibration
+    assumes; by default it is the sample's. Without toxic and ordinary rows, or without toxic words, all scores are 0.
+    """
     rng = random.Random(5)
     rows = sorted({(text, int(y)) for y, text in sample if text})
     rng.shuffle(rows)
     cut = {y: [t for t, own in rows if own == y] for y in (0, 1)}
-    at = {y: max(1, int(len(cut[y]) * DICTIONARY_PART)) for y in (0, 1)}
+    at = {y: max(1, int(len(cut[y]) * DICTIONARY_PART[y])) for y in (0, 1)}
     ordinary, toxic = cut[0][: at[0]], cut[1][: at[1]]
     if not ordinary or not toxic:
         return Model(b"", b"", ())
     common: set[bytes] = set()
     for x in ordinary:
         common.update(x.split())
-    places: dict[bytes, set] = defaultdict(set)
+    least = max(2, MIN_SHARE * len(toxic))
+    often = Counter(w for x in toxic for w in x.split() if w not in common)
+    places: dict[bytes, set] = {w: set() for w, n in often.items() if n >= least}
     for x in toxic:
         own = x.split()
         for before, w, after in zip([b"", *own], own, [*own[1:], b""]):
-            if w not in common:
+            if w in places:
                 places[w].add((before, after))
-    least = max(2, MIN_SHARE * len(toxic))
     words = {w for w, found in places.items() if len(found) >= least}
     runs = [b" " + w + b" " for x in toxic for w in x.split() if w in words]
     rng.shuffle(runs)
-    windows = []
-    for x in ordinary[:4_000]:
+    windows: list[bytes] = []
+    for x in ordinary:
+        if len(windows) >= 2 * MAX_SAMPLES:
+            break
         a, off = _joined([x])
         start, length, _ = _windows(a, off, 2 * WINDOW)
         windows += [x[s : s + n] for s, n in zip(start.tolist(), length.tolist())]
     rng.shuffle(windows)
-    model = Model(_trained(ORDINARY_BYTES, windows[:40_000], 64), _trained(TOXIC_BYTES, runs[:40_000], 16) if runs else b"", ())
+    model = Model(_trained(ORDINARY_BYTES, windows[:MAX_SAMPLES], 64), _trained(TOXIC_BYTES, runs[:MAX_SAMPLES], 16) if runs else b"", ())
     if not model.toxic:
         return model
     rest = [(1, x) for x in cut[1][at[1] :]] + [(0, x) for x in cut[0][at[0] :]]
@@ -167,29 +174,32 @@ def fit(sample: list[tuple[int, bytes]]) -> Model:
         rest = [(y, t) for t, y in rows]
     scorer = Scorer(model)
     features = np.concatenate([scorer.features(*_joined([t])) for _, t in rest])
-    return Model(model.ordinary, model.toxic, tuple(_logistic(features, np.array([y for y, _ in rest], float))))
+    y = np.array([y for y, _ in rest], float)
+    share = sum(y for _, y in rows) / len(rows) if share is None else share
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    return Model(model.ordinary, model.toxic, tuple(_logistic(features, y, weight)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[int, bytes]]:
-    """The bounded sample: rows with a label of 0 or 1 that aren't held out."""
+def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[tuple[int, bytes]], float | None]:
+    """The bounded sample, rows with a label of 0 or 1 that aren't held out, and the toxic part of all such labels."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("k"))).withColumn("h", F.xxhash64("k"))
     few = known.where("y = 1").orderBy("h", "k").limit(MAX_TOXIC).unionByName(known.where("y = 0").orderBy("h", "k").limit(MAX_ORDINARY))
     found = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(few), "k")
     # Of rows with one key and text one is enough; the window has at most the sample's rows.
     once = found.groupBy("k", "y", "h", F.xxhash64("t").alias("x")).agg(F.first("t").alias("t"))
     run = once.withColumn("so_far", F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy("h", "k", "x")))
-    return [(r["y"], bytes(r["t"])) for r in run.where(F.col("so_far") <= MAX_SAMPLE_BYTES // 2).select("y", "t").collect()]
+    return [(r["y"], bytes(r["t"])) for r in run.where(F.col("so_far") <= MAX_SAMPLE_BYTES // 2).select("y", "t").collect()], known.agg(F.avg("y")).first()[0]
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -225,10 +235,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] | tuple[str, ...] = ("d
 
 def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that the model calls toxic."""
-    marked = score(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), fit(training_sample(docs, labels, key, text)), ["row"])
+    marked = score(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), fit(*training_sample(docs, labels, key, text)), ["row"])
     return marked.where("predicted = 0").select("row.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``score`` under a model that is fitted first, on the sample of ``docs`` with ``labels``."""
-    return score(docs, fit(training_sample(docs, labels, key, text)), keep, text)
+    return score(docs, fit(*training_sample(docs, labels, key, text)), keep, text)
