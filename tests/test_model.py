@@ -213,6 +213,19 @@ def test_engine(spark):
     engine.wake("a.b")
     assert not engine.is_sleeping("a.b")
     assert engine.store("a.b").count() == 1 and engine.compact("a.b") == 1
+    assert engine.inspect_metadata().collect() == [("a.b", 1, 1)]
+    again = Engine(spark, engine.base).register_partition("a.b")  # what the folder has
+    again.write_int(8, "v", 4)
+    assert again.read_int(7, "v") == 3 and again.read_int(8, "v") == 4
+
+
+def test_memory_log(spark):
+    p = Engine(spark).register_partition("m", LogOptions(durable=False))
+    p.write_int(1, "v", 5)
+    assert p.read_int(1, "v") == 5
+    p.log_.append(commands_frame(spark, [Delete(1), Insert(2, {"v": 6})], 10))
+    p.write_int(3, "v", 7)
+    assert p.read_int(1, "v") is None and p.read_int(2, "v") == 6 and p.read_int(3, "v") == 7
 
 
 def test_text_index(spark):

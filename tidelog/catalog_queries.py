@@ -684,15 +684,20 @@ def a08_metrics(spark, sf_dir):
     return metrics(event_log(spark, sf_dir).df, "events", 0)
 
 
-@query("select c_custkey as entity_id, length(c_name) as n, strlen(c_name) as bytes from customer")
+@query("select c_custkey as entity_id, cast(length(c_name) as bigint) as result from customer")
 def u01_scalar_closure(spark, sf_dir):
-    return customer_log(spark, sf_dir).df.select("entity_id", F.length("c_name").cast("bigint").alias("n"), F.octet_length("name_bytes").cast("bigint").alias("bytes"))
+    return state.with_value(customer_log(spark, sf_dir), "c_name", STR, lambda v: F.length(v).cast("bigint"))
 
 
-@query("select cast(sum(c_nationkey * c_nationkey) as bigint) as squares from customer")
+@query("select c_custkey as entity_id, c_nationkey * 2 + 1 as result from customer")
+def u01_scalar_pandas(spark, sf_dir):
+    twice = F.pandas_udf(lambda s: s * 2 + 1, T.LongType())
+    return state.with_value(customer_log(spark, sf_dir), "c_nationkey", INT, twice)
+
+
+@query("select cast(sum(c_nationkey * c_nationkey) as bigint) as result from customer")
 def u02_column_closure(spark, sf_dir):
-    v = F.col("c_nationkey")
-    return customer_log(spark, sf_dir).df.agg(F.sum(v * v).alias("squares"))
+    return history.with_data(customer_log(spark, sf_dir), "c_nationkey", lambda v: F.sum(v * v))
 
 
 # Streaming

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.model import Node
-from tidelog.operators.facade import CommandLog, Partition
+from tidelog.operators.facade import CommandLog, MemoryLog, Partition
 from tidelog.operators.state import state
 from tidelog.plans.batch import execute, for_each_result
 from tidelog.sources.storage import Store, metadata, prewarm
@@ -18,7 +18,7 @@ from tidelog.sources.tables import scratch
 
 @dataclass(frozen=True)
 class LogOptions:
-    """How a partition's log is kept. ``flush_micros`` under 1,000 needs ``expert``."""
+    """How a partition's log is kept: in files, or in memory only; ``flush_micros`` under 1,000 needs ``expert``."""
 
     durable: bool = True
     flush_micros: int = 1_000
@@ -60,7 +60,8 @@ class Engine:
         """Opens a partition, with what its folder has; once more gives the same one."""
         if name not in self._routes:
             at = self.path(name)
-            self._routes[name] = _Route(CommandLog(self.spark, f"{at}/log"), Store(self.spark, f"{at}/entities"), options)
+            log = CommandLog(self.spark, f"{at}/log") if options.durable else MemoryLog(self.spark)
+            self._routes[name] = _Route(log, Store(self.spark, f"{at}/entities"), options)
         return Partition(self._routes[name].log)
 
     def get_partition(self, name: str) -> Partition | None:

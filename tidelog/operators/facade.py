@@ -34,7 +34,8 @@ class CommandLog:
 
     def _start(self) -> int:
         if self._next is None:
-            self._next = (self.frame().agg(F.max("seq")).first()[0] or -1) + 1
+            last = self.frame().agg(F.max("seq")).first()[0]
+            self._next = 0 if last is None else last + 1
         return self._next
 
     def send(self, *commands: Command) -> None:
@@ -74,6 +75,31 @@ class CommandLog:
         return from_commands(self.frame())
 
 
+class MemoryLog(CommandLog):
+    """The same without files: frames held in memory, gone with the session."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._pending, self._next = spark, [], 0
+        self._frames: list[DataFrame] = []
+
+    def flush(self) -> None:
+        if self._pending:
+            self._frames.append(commands_frame(self.spark, self._pending, self._start()).persist())
+            self._next = self._start() + sum(len(c.rows()) for c in self._pending)
+            self._pending = []
+
+    def append(self, log: DataFrame) -> None:
+        self.flush()
+        self._frames.append(log.select(*LOG_SCHEMA.names).persist())
+        self._next = None
+
+    def frame(self) -> DataFrame:
+        out = self.spark.createDataFrame([], LOG_SCHEMA)
+        for f in self._frames:
+            out = out.unionByName(f)
+        return out
+
+
 class PartitionReader:
     """Typed point reads."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +100,11 @@ def aggregate(log: Log, attr: str, functions: Sequence[str]) -> DataFrame:
     return log.writes().agg(*[every[f].alias(f) for f in functions])
 
 
+def with_data(log: Log, attr: str, f: Callable[[Column], Column]) -> DataFrame:
+    """``result``: ``f``, an aggregate expression or a grouped pandas UDF, of a whole column."""
+    return log.writes().agg(f(log.column(attr)).alias("result"))
+
+
 def exact_sum(log: Log, attr: str) -> DataFrame:
     return log.writes().agg(F.coalesce(F.sum(log.column(attr).cast("decimal(20,0)")), F.lit(0)).alias("sum"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,14 @@ def get(log: Log, attr: str, family: str) -> DataFrame:
     return live(log, [attr]).where(log.column(attr).isNotNull()).select("entity_id", log.column(attr))
 
 
+def with_value(log: Log, attr: str, family: str, f: Callable[[Column], Column]) -> DataFrame:
+    """``entity_id`` and ``result``: ``f`` of the attribute of each live entity that has it.
+
+    ``f`` is an expression, or a pandas UDF where there is none.
+    """
+    return get(log, attr, family).select("entity_id", f(log.column(attr)).alias("result"))
+
+
 def tagged(log: Log, attr: str) -> list[Column]:
     """tag, v_int, v_str and v_blob of an attribute by its family; tag None where it is missing."""
     family = log.families.get(attr)
