@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 def tokens(text: Column) -> Column:
     """White space separates; inside a piece what isn't a letter or number is dropped; lower case; no empty tokens."""
-    pieces = F.split(F.coalesce(text, F.lit("")), r"(?U)\s+")
-    cleaned = F.transform(pieces, lambda w: F.lower(F.regexp_replace(w, r"[^\p{IsAlphabetic}\p{N}]", "")))
-    return F.filter(cleaned, lambda w: w != "")
+    # Over the whole text at once: dropping characters joins no two pieces, since white space stays.
+    cleaned = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}]+", ""))
+    return F.array_remove(F.split(cleaned, r"\p{IsWhite_Space}+"), "")
 
 
 def tokenized(docs: DataFrame, entity: str, text: str) -> DataFrame:
@@ -45,17 +45,21 @@ class TextIndex:
         """Removes the postings of the given texts' tokens; the tokens stay known."""
         return replace(self, postings=self.postings.join(_postings(docs, entity, text), ["token", "entity_id"], "left_anti"))
 
-    def _asked(self, query: str) -> DataFrame:
+    def _only(self, query: str) -> tuple[DataFrame, DataFrame]:
+        """Postings and vocabulary of the query's tokens; a filter by them goes down to the texts' tokens, before any
+        shuffle."""
         spark = self.postings.sparkSession
-        return spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(tokens(F.col("q")))).alias("token"))
+        wanted = spark.createDataFrame([(query,)], "q string").select(F.array_distinct(tokens(F.col("q"))).alias("t")).first()["t"]
+        hit = F.col("token").isin(wanted) if wanted else F.lit(False)
+        return self.postings.where(hit), self.vocabulary.where(hit)
 
     def search_and(self, query: str) -> DataFrame:
         """Entities with all tokens of the query that are known; unknown ones don't count. None known: nothing."""
-        known = self._asked(query).join(self.vocabulary, "token", "left_semi")
-        n_known = known.agg(F.count(F.lit(1)).alias("n_known"))
-        found = self.postings.join(known, "token", "left_semi").groupBy("entity_id").agg(F.count("token").alias("n"))
+        postings, vocabulary = self._only(query)
+        n_known = vocabulary.agg(F.count(F.lit(1)).alias("n_known"))
+        found = postings.groupBy("entity_id").agg(F.count("token").alias("n"))
         return found.join(n_known, F.col("n") == F.col("n_known")).select("entity_id")
 
     def search_or(self, query: str) -> DataFrame:
         """Entities with any token of the query."""
-        return self.postings.join(self._asked(query), "token", "left_semi").select("entity_id").distinct()
+        return self._only(query)[0].select("entity_id").distinct()
