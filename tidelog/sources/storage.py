@@ -20,8 +20,12 @@ class Files:
 
     def __init__(self, spark: SparkSession, base: str):
         jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+        hadoop, conf = jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+        self._path = hadoop.Path
+        self._fs = self._path(base).getFileSystem(conf)
+        self._context = hadoop.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._overwrite = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+        self._overwrite[0] = hadoop.Options.Rename.OVERWRITE
         self.base = base
 
     def at(self, name: str):
@@ -49,15 +53,12 @@ class Files:
             stream.close()
 
     def write(self, name: str, data: bytes) -> None:
-        """Whole or not at all: to a temporary name, then renamed."""
+        """Whole or not at all: to a temporary name, then renamed over the old file."""
         temporary = self.at(f".{name}.tmp")
         stream = self._fs.create(temporary, True)
         stream.write(bytearray(data))
         stream.close()
-        if self._fs.exists(self.at(name)):
-            self._fs.delete(self.at(name), False)
-        if not self._fs.rename(temporary, self.at(name)):
-            raise OSError(f"couldn't publish {name}")
+        self._context.rename(temporary, self.at(name), self._overwrite)
 
     def append(self, name: str, data: bytes) -> None:
         self.write(name, (self.read(name) if self.exists(name) else b"") + data)
