@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from tidelog.llm import text as tx
 from tidelog.llm.pretoken import Memo, split
 
-#: Pre-tokens that a worker remembers in a generation; two generations are some 200 MB.
-MEMO_SIZE = 450_000
+#: Pre-tokens that a worker remembers in a generation; two generations are some 100 MB.
+MEMO_SIZE = 220_000
 _M = (1 << 64) - 1
 
 

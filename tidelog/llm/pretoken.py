@@ -29,15 +29,29 @@ def split(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Values by key, made by ``make`` when first asked for; at most two generations of ``size`` are kept."""
+    """Values by key, made by ``make``; at most two generations of ``size`` are kept.
 
-    def __init__(self, make, size: int = 200_000):
+    A key is kept when it's asked for a second time, as most come once. Which keys were asked for is noted in a table of
+    flags by hash, cleared when a quarter is set; a collision only keeps a key early.
+    """
+
+    FLAGS = 1 << 21
+
+    def __init__(self, make, size: int):
         self.make, self.size, self.old = make, size, {}
+        self.seen, self.noted = bytearray(self.FLAGS), 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            at = hash(key) & (self.FLAGS - 1)
+            if not self.seen[at]:
+                if self.noted >= self.FLAGS // 4:
+                    self.seen, self.noted = bytearray(self.FLAGS), 0
+                self.seen[at] = 1
+                self.noted += 1
+                return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,15 @@ def steps(batches, column: str | int = "text", limit: int = STEP_BYTES) -> Itera
             end = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
             yield batch.slice(at, end - at), data[off[at] : off[end]], off[at : end + 1] - off[at]
             at = end
+    _trim()
+
+
+def _trim() -> None:
+    """Gives freed memory back, since a worker waits for its next task with what it has."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def word_bounds(a: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -199,7 +199,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     # Of rows with one key and text one is enough; the window has at most the sample's rows.
     once = found.groupBy("k", "y", "h", F.xxhash64("t").alias("x")).agg(F.first("t").alias("t"))
     run = once.withColumn("so_far", F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy("h", "k", "x")))
-    return [(r["y"], bytes(r["t"])) for r in run.where(F.col("so_far") <= MAX_SAMPLE_BYTES // 2).select("y", "t").collect()], known.agg(F.avg("y")).first()[0]
+    sample = run.where(F.col("so_far") <= MAX_SAMPLE_BYTES // 2).select("y", "t").toArrow()
+    return list(zip(sample.column("y").to_pylist(), sample.column("t").to_pylist())), known.agg(F.avg("y")).first()[0]
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -213,16 +214,16 @@ def _scorer(dumped: bytes) -> Scorer:
     return _SCORERS[at]
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns, ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5), one row per input row.
+def score(docs: DataFrame, model: Model, keep: list[str] | tuple[str, ...] = ("doc_id",), text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The kept columns, ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5), or ``names``, one row per input row.
 
     Whole texts are scored, null ones as empty. Nothing but the text counts. The model, some 40 KB, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.dump())
-    names = list(keep)
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], *[] if text in names else [F.col(f"`{text}`")])
-    at, count = rows.columns.index(text), len(names)
-    schema = T.StructType(rows.schema.fields[:count] + T.StructType.fromDDL("score double, predicted int").fields)
+    kept = list(keep)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *[] if text in kept else [F.col(f"`{text}`")])
+    at, count = rows.columns.index(text), len(kept)
+    schema = T.StructType(rows.schema.fields[:count] + [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches):
         scorer = _scorer(shared.value)
@@ -235,8 +236,11 @@ def score(docs: DataFrame, model: Model, keep: list[str] | tuple[str, ...] = ("d
 
 def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that the model calls toxic."""
-    marked = score(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), fit(*training_sample(docs, labels, key, text)), ["row"])
-    return marked.where("predicted = 0").select("row.*")
+    names = ("score", "predicted")
+    while set(names) & set(docs.columns):
+        names = (names[0] + "_", names[1] + "_")
+    marked = score(docs, fit(*training_sample(docs, labels, key, text)), docs.columns, text, names)
+    return marked.where(F.col(names[1]) == 0).drop(*names)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text") -> DataFrame:
