@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.sources.storage import Files
+
 SHARED = "spark.checkpoint.dir"
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package, by a zip in the shared folder, where they can't by themselves.
+
+    They can if the package's folder is in PYTHONPATH or the working folder; then nothing is done.
+    """
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in known or Path.cwd() == root or getattr(context, "_tidelog_shipped", False):
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for path in sorted((root / "tidelog").rglob("*.py")):
+            z.writestr(str(path.relative_to(root)), path.read_bytes())
+    folder, name = shared_dir(spark), f"tidelog-{uuid.uuid4().hex}.zip"
+    Files(spark, folder).write(name, data.getvalue())
+    context.addPyFile(f"{folder}/{name}")
+    context._tidelog_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
