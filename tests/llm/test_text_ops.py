@@ -94,6 +94,21 @@ def test_toxicity_edges(spark, awkward, empty, labels):
     assert toxicity.classify(awkward, doubled).count() == len(awkward_rows())
 
 
+def test_toxic_words_that_ordinary_documents_quote():
+    """One ordinary document has both toxic words, and they're always neighbours: they're learnt all the same."""
+    rng = random.Random(7)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(n))
+    rows = [(1, f"{plain(20)} utter blockhead {plain(20)}".encode()) for _ in range(300)] + [(0, plain(40).encode()) for _ in range(2000)] + [(0, f"{plain(9)} utter blockhead {plain(9)}".encode())] * 3
+    model = toxicity.fit(rows)
+    assert b"blockhea" in model.toxic
+    fresh = [f"{plain(20)} utter blockhead {plain(20)}".encode(), plain(40).encode()] * 50
+    s = toxicity.Scorer(model).scores(*toxicity._joined(fresh))
+    assert (s[::2] >= 0.5).mean() > 0.9 and (s[1::2] >= 0.5).mean() < 0.1
+    # Quoted by one in 50 ordinary documents.
+    rows += [(0, f"{plain(9)} utter blockhead {plain(9)}".encode()) for _ in range(40)]
+    assert b"blockhea" in toxicity.fit(rows).toxic
+
+
 def test_aligned_dictionaries_agree_on_ordinary_text():
     ordinary = b"".join(b"word%d of some plain text, " % i for i in range(900))
     for n in (991, 992, 993):

@@ -1,7 +1,8 @@
 """Toxicity by compression distance: how much shorter a window gets with a dictionary of toxic text.
 
 Two zstandard dictionaries are trained, one on windows of ordinary labelled documents, one on what toxic ones have
-beyond those: words in many different places that no ordinary document has. Every window of eight
+beyond those: runs of words that are many times as frequent in toxic documents as in ordinary ones (trained on whole
+toxic documents it would mostly hold what both have). Every window of eight
 words of a text is compressed under the ordinary dictionary alone and under both; ordinary content sits at the same
 distance in either, so the difference in length is due to toxic content. A logistic calibration, fitted on labelled
 documents that the dictionaries haven't seen, turns a document's differences into a score.
@@ -12,7 +13,6 @@ from __future__ import annotations
 import pickle
 import random
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,9 +33,10 @@ MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_BYTES = 2_000, 10_000, 64_000_000
 MAX_SAMPLES = 40_000
 #: The parts of the sample's ordinary and toxic documents that train dictionaries; the rest calibrates.
 DICTIONARY_PART = {0: 0.75, 1: 0.6}
-#: A word is toxic only if it stands between as many different pairs of words as this part of the toxic documents,
-#: and two at least. Near copies of one document show a word in one place only.
-MIN_SHARE = 0.01
+#: A word is toxic if it is so many times as frequent in toxic documents as in ordinary ones, which count as having it
+#: in SMOOTHING more places than they do. A place is a pair of neighbours; near copies of one document show a word in
+#: one place only.
+RATIO, SMOOTHING = 10, 5
 
 
 def held_out(key: Column) -> Column:
@@ -132,6 +133,41 @@ def _trained(size: int, samples: list[bytes], k: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[:size]
 
 
+def _placed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and of the places they stand in, once each; a place has its word and both neighbours."""
+    words, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for i in range(0, len(texts), 500):
+        a, off = _joined(texts[i : i + 500])
+        start, end, doc = tx.word_bounds(a, off)
+        h = tx.word_hashes(a, start, end).astype(np.uint64)
+        edge = np.append(doc[1:] != doc[:-1], True)[: len(h)]
+        after = np.where(edge, np.uint64(0), np.roll(h, -1))
+        before = np.where(np.roll(edge, 1), np.uint64(0), np.roll(h, 1))
+        place, first = np.unique((before * np.uint64(0x9E3779B97F4A7C15) + h) * np.uint64(0xC2B2AE3D27D4EB4F) + after, return_index=True)
+        words.append(h[first])
+        places.append(place)
+    place, first = np.unique(np.concatenate(places), return_index=True)
+    return np.concatenate(words)[first], place
+
+
+def _runs(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The longest runs of toxic words in ``toxic``, each as often as it comes, with a space on either side."""
+    words, n = np.unique(_placed(toxic)[0], return_counts=True)
+    known, m = np.unique(_placed(ordinary)[0], return_counts=True)
+    at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+    usual = np.where(known[at] == words, m[at], 0) if len(known) else np.zeros(len(words))
+    total = [max(1, sum(len(x.split()) for x in texts)) for texts in (toxic, ordinary)]
+    chosen = words[n / total[0] >= RATIO * (usual + SMOOTHING) / total[1]]
+    out = []
+    for x in toxic:
+        a, off = _joined([x])
+        start, end, _ = tx.word_bounds(a, off)
+        hit = np.isin(tx.word_hashes(a, start, end).astype(np.uint64), chosen)
+        turn = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+        out += [b" " + b" ".join(x[start[i] : end[j - 1]].split()) + b" " for i, j in zip(turn[::2], turn[1::2])]
+    return out
+
+
 def fit(sample: list[tuple[int, bytes]], share: float | None = None) -> Model:
     """From (toxic 0 or 1, text) rows. ``share`` is the part of all labelled rows that is toxic, which the calibration
     assumes; by default it is the sample's. Without toxic and ordinary rows, or without toxic words, all scores are 0.
@@ -144,19 +180,7 @@ def fit(sample: list[tuple[int, bytes]], share: float | None = None) -> Model:
     ordinary, toxic = cut[0][: at[0]], cut[1][: at[1]]
     if not ordinary or not toxic:
         return Model(b"", b"", ())
-    common: set[bytes] = set()
-    for x in ordinary:
-        common.update(x.split())
-    least = max(2, MIN_SHARE * len(toxic))
-    often = Counter(w for x in toxic for w in x.split() if w not in common)
-    places: dict[bytes, set] = {w: set() for w, n in often.items() if n >= least}
-    for x in toxic:
-        own = x.split()
-        for before, w, after in zip([b"", *own], own, [*own[1:], b""]):
-            if w in places:
-                places[w].add((before, after))
-    words = {w for w, found in places.items() if len(found) >= least}
-    runs = [b" " + w + b" " for x in toxic for w in x.split() if w in words]
+    runs = _runs(toxic, ordinary)
     rng.shuffle(runs)
     windows: list[bytes] = []
     for x in ordinary:
