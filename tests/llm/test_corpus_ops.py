@@ -259,6 +259,22 @@ def test_mix_edges(spark, awkward, empty, monkeypatch):
     assert mixing.OTHERS in {r.source for r in pooled} and {r.doc_id for r in pooled} == {k for k, _ in awkward_rows()}
 
 
+def test_mix_of_more_than_10_000_sources(spark, monkeypatch):
+    """Every source keeps its name, and a weight counts however small its source is."""
+    docs = spark.range(10_200).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 100, "big").otherwise(F.concat(F.lit("s"), F.col("id"))).alias("source"), F.lit("x").alias("text"))
+    truth = {r.doc_id: r.source for r in docs.collect()}
+    got = mixing.mix(docs).where("epoch = 0").collect()
+    assert {r.doc_id: r.source for r in got} == truth and len(got) == len(truth)
+    rare = max(s for s in truth.values() if s != "big")
+    weights = {"big": 3, rare: 1}
+    want = naive_mix([x for x in truth.items() if x[1] in weights], weights, 16, 40)
+    assert sorted(map(tuple, mixing.mix(docs, weights, slots=40).collect()), key=repr) == want
+    for most in (mixing.MAX_BROADCAST, 1):
+        monkeypatch.setattr(mixing, "MAX_BROADCAST", most)
+        times = collections.Counter(r.doc_id for r in mixing.repeat(docs, weights, slots=40).collect())
+        assert times == collections.Counter(k for k, *_ in want)
+
+
 def test_schedule_meets_every_deadline():
     rng = random.Random(4)
     for _ in range(30):

@@ -5,15 +5,19 @@ floor(i / w) and wants it placed before slot ceil((i + 1) / w); of the released
 deadline is placed. With weights that add up to 1 every block meets its deadline, so at every point of the mix a source
 is less than one block from its share.
 
-Weights are rounded to quotas of a round of slots. The schedule repeats after each round, all sources being exactly on
-target there; so it's worked out once for one round, and a block's slot follows from its number alone.
+Weights are rounded to quotas of a round of slots, and the schedule repeats after each round. The driver works it out
+for all blocks, knowing sources by number; a document finds its block's slots by a join.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from array import array
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +28,11 @@ from tidelog.sources.tables import written
 #: its part of the documents to this power, so that small sources gain.
 BLOCK, ROUND, FLATTEN = 16, 10_000, 0.8
 MAX_ROUND = 1_000_000
-#: Sources beyond these, the smallest, are mixed as one.
-MAX_SOURCES = 10_000
+#: Unless this is None, sources beyond so many, the smallest, are mixed as one that has the sum of their weights.
+MAX_SOURCES: int | None = None
 OTHERS = "(others)"
+#: Sources up to which ``repeat`` broadcasts their turns; beyond, texts are shuffled.
+MAX_BROADCAST = 100_000
 
 
 def quotas(weights: Mapping, slots: int = ROUND) -> dict:
@@ -47,60 +53,83 @@ def quotas(weights: Mapping, slots: int = ROUND) -> dict:
     return out
 
 
-def schedule(quota: Mapping) -> list:
-    """The source of each slot of one round, earliest deadline first among the released; ties by order of ``quota``."""
-    slots = sum(quota.values())
-    names = list(quota)
-    waiting = [(0, k) for k in range(len(names))]  # (release, source)
+def _earliest(quota: Sequence[int]) -> Iterator[int]:
+    """The source (by number) of each slot without end, earliest deadline first among the released; ties by number."""
+    total = sum(quota)
+    waiting = [(0, k) for k in range(len(quota))]  # (release, source)
     ready: list[tuple[int, int]] = []  # (deadline, source)
-    placed = [0] * len(names)
-    out = []
-    for t in range(slots):
+    placed = [0] * len(quota)
+    t = 0
+    while quota:
         while waiting and waiting[0][0] <= t:
             k = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(placed[k] + 1) * slots // quota[names[k]]), k))
+            heapq.heappush(ready, (-(-(placed[k] + 1) * total // quota[k]), k))
         deadline, k = heapq.heappop(ready)
         if deadline <= t:
             raise AssertionError("a deadline was missed")
-        out.append(names[k])
+        yield k
         placed[k] += 1
-        if placed[k] < quota[names[k]]:
-            heapq.heappush(waiting, (placed[k] * slots // quota[names[k]], k))
-    return out
+        heapq.heappush(waiting, (placed[k] * total // quota[k], k))
+        t += 1
 
 
-def _plan(docs: DataFrame, source: str, weights: Mapping | None, block: int, slots: int):
-    """(groups, table, last): documents a source; (source, quota, blocks, place in the round, slot); slots in all."""
-    counts = docs.groupBy(F.col(source).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    top = [(r["s"], r["n"]) for r in counts.orderBy(F.desc("n"), F.asc_nulls_first("s")).limit(MAX_SOURCES).collect()]
-    total = counts.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).first()
-    sizes = dict(top)
-    pooled = (total["n"] or 0) - sum(sizes.values())
-    if pooled:
-        sizes[OTHERS] = sizes.get(OTHERS, 0) + pooled
-    given = {s: float(n) ** FLATTEN for s, n in sizes.items()} if weights is None else {s: float(weights.get(s, 0)) for s in sizes}
+def schedule(quota: Mapping) -> list:
+    """The source of each slot of one round."""
+    names = list(quota)
+    return [names[k] for k in islice(_earliest(list(quota.values())), sum(quota.values()))]
+
+
+def _order(quota: Sequence[int], blocks: Sequence[int]) -> np.ndarray:
+    """The source of each slot up to the one in which the last source has placed all its blocks once."""
+    out, left, behind = array("i"), list(blocks), len(blocks)
+    for k in _earliest(quota):
+        out.append(k)
+        left[k] -= 1
+        behind -= left[k] == 0
+        if not behind:
+            break
+    return np.array(out, np.int64)
+
+
+def _sources(docs: DataFrame, source: str, weights: Mapping | None) -> tuple[DataFrame, DataFrame]:
+    """(own, names): ``id`` in order of names, ``own``, ``n`` documents and ``w`` (null: by n) of what is mixed; ``s``, the
+    documents' source, with the ``id`` and ``own`` that it's mixed as. Sources without a positive weight aren't there."""
+    found = docs.groupBy(F.col(source).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.lit(None).cast("double"))
+    if weights is not None:
+        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items() if w > 0], "g string, given double")
+        found = found.join(given, F.col("s").eqNullSafe(F.col("g"))).select("s", "n", F.col("given").alias("w"))
+    found = found.withColumn("own", F.col("s"))
+    if MAX_SOURCES is not None:
+        found = written(found, "mix-sources")
+        top = found.orderBy(F.desc("n"), F.asc_nulls_first("s")).limit(MAX_SOURCES).select(F.col("s").alias("t"), F.lit(True).alias("large"))
+        found = found.join(top, F.col("s").eqNullSafe(F.col("t")), "left").select("s", "n", F.coalesce("w", F.pow("n", F.lit(FLATTEN))).alias("w"), F.when(F.col("large"), F.col("s")).otherwise(OTHERS).alias("own"))
+        own = found.groupBy("own").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    else:
+        own = found.select("own", "n", "w")
+    own = written(own.orderBy(F.asc_nulls_first("own")).withColumn("id", F.monotonically_increasing_id()), "mix-sources")
+    if MAX_SOURCES is None:
+        return own, own.select(F.col("own").alias("s"), "id", "own")
+    ids = own.select(F.col("own").alias("o"), "id")
+    return own, written(found.join(ids, F.col("own").eqNullSafe(F.col("o"))).select("s", "id", "own"), "mix-sources")
+
+
+def _plan(docs: DataFrame, source: str, weights: Mapping | None, block: int, slots: int) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, ids, blocks, order): ``_sources``' names; of each source its id and blocks; the source, by its place in
+    ids, of each slot. The driver holds some 24 bytes a source beside the heap, and 4 to 40 a slot: no names."""
+    own, names = _sources(docs, source, weights)
+    held = own.select("id", "n", "w").orderBy("id").toArrow()
+    n = held.column("n").to_pylist()
+    given = {k: float(n[k]) ** FLATTEN if w is None else w for k, w in enumerate(held.column("w").to_pylist())}
+    blocks = [-(-x // block) for x in n]
     quota = quotas(given, slots)
-    blocks = {s: -(-sizes[s] // block) for s in quota}
-    places: dict = {s: [] for s in quota}
-    for t, s in enumerate(schedule(quota)):
-        places[s].append(t)
-    slots = sum(quota.values())
-    ends = [(blocks[s] - 1) // quota[s] * slots + places[s][(blocks[s] - 1) % quota[s]] + 1 for s in quota]
-    return sizes, quota, blocks, places, slots, max(ends, default=0)
-
-
-def _source_name(source: str, sizes: Mapping) -> Column:
-    """A document's source, or that of the pooled small ones."""
-    name = F.col(source).cast("string")
-    if OTHERS not in sizes:
-        return name
-    known = [s for s in sizes if s is not None]
-    return F.when(name.isNull() & F.lit(None in sizes), name).when(name.isin(known), name).otherwise(F.lit(OTHERS))
+    return names, held.column("id").to_numpy(), np.array(blocks, np.int64), _order(list(quota.values()), blocks)
 
 
-def occurrences(quota: int, places: list[int], slots: int, last: int) -> int:
-    """Slots that a source has before slot ``last``."""
-    return last // slots * quota + sum(p < last % slots for p in places)
+def _ranked(docs: DataFrame, names: DataFrame, source: str, key: str) -> DataFrame:
+    """Key ``k``, ``id`` and ``own`` of each document's source, and its ``rank`` in it."""
+    rows = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("__s"))
+    named = rows.join(names, F.col("__s").eqNullSafe(F.col("s"))).select("k", "id", "own")
+    return with_running(written(named, "mix"), "k", ["id"], name="rank")
 
 
 def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int = ROUND) -> DataFrame:
@@ -110,21 +139,21 @@ def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source",
     weight n ** FLATTEN of its n documents. The mix ends with the slot in which the last source has placed all its
     blocks once; until then a source that has run out starts over (``epoch``), so nothing is lost and shares hold to
     the end. Null is a source like any other. Documents of one key are neighbours in an arbitrary order; null keys
-    are last. An empty table gives an empty mix. Only keys and sources are shuffled. Rows: about n times the largest
+    are last. An empty table gives an empty mix. Only keys and sources are shuffled. Every source has its own
+    quota, however many there are (see MAX_SOURCES). Rows: about n times the largest
     n ** (1 - FLATTEN) over the mean.
     """
-    sizes, quota, blocks, places, slots, last = _plan(docs, source, weights, block, slots)
-    spark = docs.sparkSession
-    # At most a round of rows: 4 x MAX_SOURCES.
-    table = spark.createDataFrame([(s, quota[s], blocks[s], occurrences(quota[s], places[s], slots, last), places[s]) for s in quota], "s string, quota bigint, blocks bigint, times bigint, places array<int>")
-    rows = docs.select(F.col(key).alias("k"), _source_name(source, sizes).alias("s"))
-    ranked = with_running(written(rows, "mix"), "k", ["s"], name="rank")
-    placed = ranked.withColumnRenamed("s", "own").join(F.broadcast(table), F.col("own").eqNullSafe(F.col("s")))
-    placed = placed.withColumn("block", F.floor(F.col("rank") / block)).where("block < times")
-    turns = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("times") - 1 - F.col("block")) / F.col("blocks")))))
-    number = F.col("epoch") * F.col("blocks") + F.col("block")
-    slot = F.floor(number / F.col("quota")) * slots + F.element_at("places", (number % F.col("quota") + 1).cast("int"))
-    return turns.select(F.col("k").alias(key), F.col("own").alias("source"), "block", "epoch", slot.cast("bigint").alias("slot"), (F.col("rank") % block).cast("int").alias("place"))
+    names, ids, blocks, order = _plan(docs, source, weights, block, slots)
+    by = np.argsort(order, kind="stable")
+    times = np.bincount(order, minlength=len(ids))
+    number = np.empty(len(order), np.int64)
+    number[by] = np.arange(len(order)) - np.repeat(np.cumsum(times) - times, times)
+    turn = pa.table({"i": ids[order], "b": number % blocks[order], "epoch": number // blocks[order], "slot": np.arange(len(order))})
+    # One row a slot; as a table, since it has as many rows as the mix has blocks.
+    plan = written(docs.sparkSession.createDataFrame(turn, "i bigint, b bigint, epoch bigint, slot bigint"), "mix-plan")
+    placed = _ranked(docs, names, source, key).withColumn("block", F.floor(F.col("rank") / block).cast("bigint"))
+    turns = placed.join(plan, (F.col("id") == F.col("i")) & (F.col("block") == F.col("b")))
+    return turns.select(F.col("k").alias(key), F.col("own").alias("source"), "block", "epoch", "slot", (F.col("rank") % block).cast("int").alias("place"))
 
 
 def repeat(docs: DataFrame, weights: Mapping | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int = ROUND) -> DataFrame:
@@ -133,22 +162,18 @@ def repeat(docs: DataFrame, weights: Mapping | None = None, source: str = "sourc
     A source's documents differ by one turn at most: those up to a certain key have one more. So the mix is first
     reduced to that key for each source. Rows that share it are told apart by nothing and get the same number of turns.
     """
-    sizes, quota, blocks, places, slots, last = _plan(docs, source, weights, block, slots)
-    spark = docs.sparkSession
-    table = []
-    for s in quota:
-        times = occurrences(quota[s], places[s], slots, last)
-        table.append((s, times // blocks[s], times % blocks[s] * block))
-    turns = spark.createDataFrame(table, "s string, turns bigint, more bigint")
-    rows = docs.select(F.col(key).alias("k"), _source_name(source, sizes).alias("s"))
-    ranked = with_running(written(rows, "mix"), "k", ["s"], name="rank")
-    edge = ranked.withColumnRenamed("s", "own").join(F.broadcast(turns), F.col("own").eqNullSafe(F.col("s"))).where("rank < more").groupBy(F.col("own").alias("e")).agg(F.max("k").alias("edge"), F.count(F.lit(1)).alias("some"), F.max(F.col("k").isNull()).alias("all"))
-    # One row a source: at most MAX_SOURCES + 1.
-    known = turns.join(edge, F.col("s").eqNullSafe(F.col("e")), "left").select("s", "turns", "edge", F.coalesce("all", F.lit(False)).alias("all"), F.coalesce("some", F.lit(0)).alias("some"))
+    names, ids, blocks, order = _plan(docs, source, weights, block, slots)
+    times = np.bincount(order, minlength=len(ids))
+    table = pa.table({"i": ids, "turns": times // blocks, "more": times % blocks * block})
+    turns = docs.sparkSession.createDataFrame(table, "i bigint, turns bigint, more bigint")
+    ranked = _ranked(docs, names, source, key)
+    edge = ranked.join(turns, F.col("id") == F.col("i")).where("rank < more").groupBy(F.col("id").alias("e")).agg(F.max("k").alias("edge"), F.count(F.lit(1)).alias("some"), F.max(F.col("k").isNull()).alias("all"))
+    # One row a source.
+    known = names.join(turns, F.col("id") == F.col("i")).join(edge, F.col("id") == F.col("e"), "left").select("s", "turns", "edge", F.coalesce("all", F.lit(False)).alias("all"), F.coalesce("some", F.lit(0)).alias("some"))
     mark, turn = "mix", "turn"
     while {mark, turn} & set(docs.columns):
         mark, turn = mark + "_", turn + "_"
     known = known.select(F.struct("s", "turns", "edge", "all", "some").alias(mark))
-    joined = docs.join(F.broadcast(known), _source_name(source, sizes).eqNullSafe(F.col(f"{mark}.s")))
+    joined = docs.join(F.broadcast(known) if len(ids) <= MAX_BROADCAST else known, F.col(source).cast("string").eqNullSafe(F.col(f"{mark}.s")))
     more = F.when(F.col(f"{mark}.some") == 0, 0).when(F.col(f"{mark}.all"), 1).otherwise(F.coalesce((F.col(key) <= F.col(f"{mark}.edge")).cast("int"), F.lit(0)))
     return joined.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(f"{mark}.turns") + more))).select(*[F.col(f"`{c}`") for c in docs.columns])
