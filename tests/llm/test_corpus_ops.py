@@ -275,6 +275,21 @@ def test_mix_of_more_than_10_000_sources(spark, monkeypatch):
         assert times == collections.Counter(k for k, *_ in want)
 
 
+def test_mix_holds_the_target_weights_over_many_rounds(spark):
+    """Nothing is rounded: at every slot each source is less than a block from the weight that was asked for."""
+    weights = {"big": 1 / 3} | {f"s{i}": 2 / 3 / 49 for i in range(49)}
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20_000, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 49)).alias("source"))
+    order = [r.source for r in mixing.mix(docs, weights, block=1).orderBy("slot").select("source").collect()]
+    placed, total = collections.Counter(), sum(weights.values())
+    assert len(order) > 50_000
+    for t, s in enumerate(order, 1):
+        placed[s] += 1
+        assert abs(placed[s] - t * weights[s] / total) < 1 and abs(placed["big"] - t * weights["big"] / total) < 1
+    exact = mixing.quotas(weights)
+    assert all(abs(q / sum(exact.values()) - weights[s] / total) < 1e-15 for s, q in exact.items())
+    assert abs(mixing.quotas(weights, 10_000)["big"] - 10_000 / 3) < 1
+
+
 def test_schedule_meets_every_deadline():
     rng = random.Random(4)
     for _ in range(30):

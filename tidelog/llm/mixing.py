@@ -5,8 +5,9 @@ floor(i / w) and wants it placed before slot ceil((i + 1) / w); of the released
 deadline is placed. With weights that add up to 1 every block meets its deadline, so at every point of the mix a source
 is less than one block from its share.
 
-Weights are rounded to quotas of a round of slots, and the schedule repeats after each round. The driver works it out
-for all blocks, knowing sources by number; a document finds its block's slots by a join.
+Weights are taken as they are, as exact fractions; only if a number of slots is given they're first rounded to quotas of
+a round of so many. The driver works the schedule out for all blocks, knowing sources by number; a document finds its
+block's slots by a join.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from __future__ import annotations
 import heapq
 from array import array
 from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
 from itertools import islice
+from math import gcd, lcm
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,9 @@ from pyspark.sql import functions as F
 from tidelog.plans.positions import with_running
 from tidelog.sources.tables import written
 
-#: Documents in a block; slots in a round (more if there are many sources); the weight of a source by default is
-#: its part of the documents to this power, so that small sources gain.
-BLOCK, ROUND, FLATTEN = 16, 10_000, 0.8
+#: Documents in a block; slots in a round that weights are rounded to (None: they aren't); the weight of a source by
+#: default is its part of the documents to this power, so that small sources gain.
+BLOCK, ROUND, FLATTEN = 16, None, 0.8
 MAX_ROUND = 1_000_000
 #: Unless this is None, sources beyond so many, the smallest, are mixed as one that has the sum of their weights.
 MAX_SOURCES: int | None = None
@@ -35,20 +38,27 @@ OTHERS = "(others)"
 MAX_BROADCAST = 100_000
 
 
-def quotas(weights: Mapping, slots: int = ROUND) -> dict:
-    """Slots of a round for each source, at least one each, by largest remainders; ties by name.
+def quotas(weights: Mapping, slots: int | None = ROUND) -> dict:
+    """Whole numbers in the ratio of the positive weights, in order of names.
 
-    The round is made longer, up to MAX_ROUND, for a source whose share is under 4 slots.
+    With ``slots`` they are a round's slots instead, at least one each, by largest remainders; ties by name. The round is
+    made longer, up to MAX_ROUND, for a source whose share is under 4 slots, and by the slots that small shares lack.
     """
     names = sorted((s for s, w in weights.items() if w > 0), key=lambda s: (s is not None, s))
     if not names:
         return {}
-    total = sum(weights[s] for s in names)
-    slots = max(slots, 4 * len(names), min(MAX_ROUND, int(4 * total / min(weights[s] for s in names))))
-    exact = {s: weights[s] / total * (slots - len(names)) for s in names}
-    out = {s: 1 + int(exact[s]) for s in names}
-    left = slots - sum(out.values())
-    for s in sorted(names, key=lambda s: (int(exact[s]) - exact[s], s is not None, s))[:left]:
+    parts = {s: Fraction(weights[s]) for s in names}
+    if slots is None:
+        unit = lcm(*[x.denominator for x in parts.values()])
+        whole = {s: int(x * unit) for s, x in parts.items()}
+        common = gcd(*whole.values())
+        return {s: x // common for s, x in whole.items()}
+    total = sum(parts.values())
+    slots = max(slots, 4 * len(names), min(MAX_ROUND, int(4 * total / min(parts.values()))))
+    exact = {s: parts[s] / total * slots for s in names}
+    out = {s: max(1, int(exact[s])) for s in names}
+    left = max(0, slots - sum(out.values()))
+    for s in sorted((s for s in names if exact[s] >= 1), key=lambda s: (int(exact[s]) - exact[s], s is not None, s))[:left]:
         out[s] += 1
     return out
 
@@ -113,7 +123,7 @@ def _sources(docs: DataFrame, source: str, weights: Mapping | None) -> tuple[Dat
     return own, written(found.join(ids, F.col("own").eqNullSafe(F.col("o"))).select("s", "id", "own"), "mix-sources")
 
 
-def _plan(docs: DataFrame, source: str, weights: Mapping | None, block: int, slots: int) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+def _plan(docs: DataFrame, source: str, weights: Mapping | None, block: int, slots: int | None) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
     """(names, ids, blocks, order): ``_sources``' names; of each source its id and blocks; the source, by its place in
     ids, of each slot. The driver holds some 24 bytes a source beside the heap, and 4 to 40 a slot: no names."""
     own, names = _sources(docs, source, weights)
@@ -132,7 +142,7 @@ def _ranked(docs: DataFrame, names: DataFrame, source: str, key: str) -> DataFra
     return with_running(written(named, "mix"), "k", ["id"], name="rank")
 
 
-def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int = ROUND) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int | None = ROUND) -> DataFrame:
     """The mix: ``key``, ``source``, ``block`` (of its source, by key), ``epoch``, ``slot`` and ``place`` in the slot.
 
     ``weights`` maps sources to positive numbers; sources without one are left out. By default every source has the
@@ -156,7 +166,7 @@ def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source",
     return turns.select(F.col("k").alias(key), F.col("own").alias("source"), "block", "epoch", "slot", (F.col("rank") % block).cast("int").alias("place"))
 
 
-def repeat(docs: DataFrame, weights: Mapping | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int = ROUND) -> DataFrame:
+def repeat(docs: DataFrame, weights: Mapping | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int | None = ROUND) -> DataFrame:
     """``docs``, each row as often as the mix has it, columns as they are. Texts aren't shuffled.
 
     A source's documents differ by one turn at most: those up to a certain key have one more. So the mix is first
