@@ -45,6 +45,17 @@ def test_scan_range_link(spark):
     assert got == [[("IntList", 42), ("IntList", 7)], [("StrList", "bob")], [("None", None)], [("IntList", 42), ("IntList", 7)], [("IntList", 7)], [("None", None)], [("None", None)], [("Str", "bob")], [("None", None)], [("None", None)], [("None", None)]]
 
 
+def test_ranges_of_more_than_1000_lengths(spark):
+    n = 1_300
+    log = from_commands(commands_frame(spark, [Insert(i, {"score": 3 * i}) for i in range(n)]))
+    asked = [(i, i % 50, i) for i in range(n)] + [(n, 7, (1 << 63) - 1), (n + 1, 3, -1), (n + 2, n + 5, 4), (n + 3, 2, None)]
+    got = {}
+    for r in history.ranges(log, spark.createDataFrame(asked, "req int, entity_id bigint, length bigint"), "score").collect():
+        got.setdefault(r.req, []).append((r.pos, r.v))
+    want = {q: [(p, 3 * p) for p in range(e, min(n, e + size))] for q, e, size in asked if size and size > 0 and e < n}
+    assert {q: sorted(rows) for q, rows in got.items()} == want
+
+
 def test_replace_delete_and_history(spark):
     log = from_commands(commands_frame(spark, [Insert(1, {"a": 5}), Insert(1, {"b": "x"}), Delete(1), InsertFast(3, 5, 2, b"\x0a"), BatchInsert((Insert(1, {"a": 6}), Insert(2, {"a": 7})))]))
     assert state.get(log, "a", INT).orderBy("entity_id").collect() == [(1, 6), (2, 7)]

@@ -58,20 +58,21 @@ def scan(log: Log, attr: str, live_only: bool = False) -> DataFrame:
 def ranges(log: Log, requests: DataFrame, attr: str) -> DataFrame:
     """For requests (req, entity_id, length): ``req``, ``pos`` and ``v``, ``length`` slots from each entity's current value.
 
-    A request touches two stretches of ``length`` positions, so the join is on the stretch, whatever the length.
+    Lengths are taken up to the next power of two; a request touches two stretches of so many positions, so the join is
+    on the stretch, whatever the length, and cells come once for each of at most 63 powers.
     """
     cells = column(log, attr)
     heads = live(log, [attr]).where(log.column(attr).isNotNull()).select("seq", F.col("entity_id").alias("__e"))
     starts = cells.join(heads, "seq", "left_semi").select(F.col("entity_id").alias("__e"), F.col("pos").alias("start"))
-    asked = requests.join(starts, requests["entity_id"] == starts["__e"]).where("length > 0").select("req", "length", "start")
-    lengths = [r["length"] for r in requests.select("length").distinct().limit(1001).collect()]
-    if len(lengths) > 1000:  # stretches of one size for all then
-        lengths = [max(lengths)]
+    # The bits of length - 1. Longer than 2^62 is longer than any column.
+    power = F.length(F.bin(F.least(F.col("length"), F.lit(1 << 62)).cast("bigint") - 1)) - F.when(F.col("length") == 1, 1).otherwise(0)
+    asked = requests.join(starts, requests["entity_id"] == starts["__e"]).where("length > 0").select("req", F.col("length").cast("bigint").alias("length"), "start", power.alias("power"))
+    powers = [r["power"] for r in requests.where("length > 0").select(power.alias("power")).distinct().collect()]
     out = None
-    for n in sorted(x for x in lengths if x and x > 0):
-        own = asked.where(F.col("length") == n) if len(lengths) <= 1000 else asked
-        keyed = own.select("*", F.explode(F.array(F.floor(F.col("start") / n), F.floor(F.col("start") / n) + 1)).alias("stretch"))
-        part = keyed.join(cells.select("pos", "v", F.floor(F.col("pos") / n).alias("stretch")), "stretch").where("pos >= start and pos < start + length").select("req", "pos", "v")
+    for p in sorted(powers):
+        stretch = F.shiftright(F.col("start"), p)
+        keyed = asked.where(F.col("power") == p).select("*", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+        part = keyed.join(cells.select("pos", "v", F.shiftright(F.col("pos"), p).alias("stretch")), "stretch").where("pos >= start and pos - start < length").select("req", "pos", "v")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else asked.select("req", F.col("start").alias("pos"), F.lit(None).cast("bigint").alias("v")).where("false")
 
