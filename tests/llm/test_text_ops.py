@@ -12,6 +12,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from llm_rows import awkward_rows, pairs
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelog.llm import bpe, fingerprint, quality, queries, sharding, tokenfile, toxicity, urlfilter
@@ -94,6 +95,17 @@ def test_toxicity_edges(spark, awkward, empty, labels):
     assert toxicity.classify(awkward, doubled).count() == len(awkward_rows())
 
 
+def test_a_long_text_does_not_end_the_training_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_SAMPLE_BYTES", 20_000)
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic")).where(~toxicity.held_out(F.col("id")))
+    first = labels.where("toxic = 1").orderBy(F.xxhash64("doc_id")).first().doc_id
+    docs = labels.select("doc_id", F.when(F.col("doc_id") == first, F.repeat(F.lit("long "), 3_000)).otherwise(F.concat(F.lit("text "), F.col("doc_id"))).alias("text"))
+    sample, _ = toxicity.training_sample(docs, labels)
+    assert sorted(t for _, t in sample) == sorted(r.text.encode() for r in docs.collect() if r.doc_id != first)
+    with pytest.raises(ValueError):
+        toxicity.training_sample(docs.where(F.col("doc_id") == first), labels)
+
+
 def test_toxic_words_that_ordinary_documents_quote():
     """One ordinary document has both toxic words, and they're always neighbours: they're learnt all the same."""
     rng = random.Random(7)

@@ -18,16 +18,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm import text as tx
+from tidelog.sources.tables import written
 
 #: Words in a window; bytes of the dictionaries; compression level.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 8, 32_768, 4_096, 3
 #: The bounded training sample: documents of each label, those with the smallest hashes of their ids, and bytes of
-#: text in all. Whole texts are taken, in hash order, as long as the bytes last.
+#: text in all, half of them for each label. Whole texts are taken, in hash order; those that don't fit in what is left
+#: are passed over.
 MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_BYTES = 2_000, 10_000, 64_000_000
 #: Windows, and runs round toxic words, that a dictionary is trained on.
 MAX_SAMPLES = 40_000
@@ -220,10 +222,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("k"))).withColumn("h", F.xxhash64("k"))
     few = known.where("y = 1").orderBy("h", "k").limit(MAX_TOXIC).unionByName(known.where("y = 0").orderBy("h", "k").limit(MAX_ORDINARY))
     found = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(few), "k")
-    # Of rows with one key and text one is enough; the window has at most the sample's rows.
-    once = found.groupBy("k", "y", "h", F.xxhash64("t").alias("x")).agg(F.first("t").alias("t"))
-    run = once.withColumn("so_far", F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy("h", "k", "x")))
-    sample = run.where(F.col("so_far") <= MAX_SAMPLE_BYTES // 2).select("y", "t").toArrow()
+    # Of rows with one key and text one is enough; there are at most the sample's rows.
+    once = written(found.groupBy("k", "y", "h", F.xxhash64("t").alias("x")).agg(F.first("t").alias("t")), "toxicity-sample")
+    sizes = once.select("y", "h", "k", "x", F.octet_length("t").alias("size")).orderBy("y", "h", "k", "x").toArrow()
+    left, seen, fits = {0: MAX_SAMPLE_BYTES // 2, 1: MAX_SAMPLE_BYTES // 2}, set(), []
+    for y, size in zip(sizes.column("y").to_pylist(), sizes.column("size").to_pylist()):
+        fits.append(size <= left[y])
+        left[y] -= size * fits[-1]
+        seen.add((y, fits[-1]))
+    for y in (0, 1):
+        if (y, False) in seen and (y, True) not in seen:
+            raise ValueError(f"every text with label {y} is longer than the sample's {MAX_SAMPLE_BYTES // 2} bytes")
+    chosen = docs.sparkSession.createDataFrame(sizes.filter(pa.array(fits, pa.bool_())).select(["y", "k", "x"]), once.select("y", "k", "x").schema)
+    sample = once.join(F.broadcast(chosen), ["y", "k", "x"]).select("y", "t").toArrow()
     return list(zip(sample.column("y").to_pylist(), sample.column("t").to_pylist())), known.agg(F.avg("y")).first()[0]
 
 
