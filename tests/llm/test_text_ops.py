@@ -78,7 +78,8 @@ def test_toxicity_learns_without_held_out_rows(spark, documents, labels):
     rank = np.empty(len(s))
     rank[order] = np.arange(1, len(s) + 1)
     area = (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
-    assert area > 0.85 and p[y == 0].mean() < 0.02 and (s >= 0).all() and (s <= 1).all()
+    # A tenth of the toxic English rows have no insult at all, so not many more can be found in a table of this size.
+    assert area > 0.88 and p[y == 1].mean() > 0.6 and p[y == 0].mean() < 0.015 and (s >= 0).all() and (s <= 1).all()
 
 
 def test_toxicity_edges(spark, awkward, empty, labels):
@@ -121,14 +122,53 @@ def test_toxic_words_that_ordinary_documents_quote():
     assert b"blockhea" in toxicity.fit(rows).toxic
 
 
-def test_aligned_dictionaries_agree_on_ordinary_text():
-    ordinary = b"".join(b"word%d of some plain text, " % i for i in range(900))
-    for n in (991, 992, 993):
-        model = toxicity.Model(ordinary, (b" blockhead nitwit " * 99)[:n], (0.0,) * 9)
-        plain = b"word77 of some plain text, word78 of some plain text, "
-        assert toxicity.Scorer(model).gains(plain, np.array([0]), np.array([len(plain)])).tolist() == [0]
-        rude = b"word77 of some blockhead text, "
-        assert toxicity.Scorer(model).gains(rude, np.array([0]), np.array([len(rude)]))[0] > 2
+def test_gains_are_differences_of_compressed_lengths(documents):
+    """Each window's gain and each document's score, by compressing window by window."""
+    import zstandard
+
+    texts = [r.text.encode() for r in documents.limit(60).collect()]
+    rude = [b"%s utter blockhead, %s nitwit" % (x[:200], x[-200:]) for x in texts[:30]]
+    model = toxicity.fit([(0, x) for x in texts] + [(1, x) for x in rude] * 2)
+    assert model.toxic and len(model.weights) == 9
+
+    def compressor(content):
+        parameters = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=128, dict_size=len(content), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False)
+        return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)
+
+    plain, both = compressor(model.ordinary), compressor(model.toxic + model.ordinary)
+    scorer = toxicity.Scorer(model)
+    for x in [*texts[:20], *rude[:20], b"", b" \n", b"one"]:
+        windows = re.findall(rb"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,8}", x)
+        gain = np.array([max(0, len(plain.compress(w)) - len(both.compress(w))) for w in windows], int)
+        n, top = len(windows), max(gain, default=0)
+        features = [1, top, min(top, 3), np.log1p(gain.sum()), *[np.log1p((gain >= k).sum()) for k in (2, 3, 4)], np.log1p(n), (gain >= 3).sum() / max(n, 1)]
+        want = 1 / (1 + np.exp(-np.clip(np.dot(features, model.weights), -30, 30)))
+        assert abs(scorer.scores(*toxicity._joined([x]))[0] - want) < 1e-12
+
+
+def test_toxic_runs_are_counted_net_of_ordinary_text(monkeypatch):
+    """Runs and places against plain dictionaries, in any number of parts."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5)))
+    text = lambda extra: " ".join(rng.choice([word(), extra]) if rng.random() < 0.2 else word() for _ in range(60)).encode()
+    toxic, ordinary = [text("zwxy") for _ in range(20)], [text("abab") for _ in range(60)]
+    toxic += toxic[:5]  # copies don't count
+
+    def places(texts):
+        found = collections.defaultdict(set)
+        for t in texts:
+            a = bytes(12) + b" " + b" ".join(t.split()) + b" " + bytes(12)
+            for i in range(12, len(a) - 17):
+                found[a[i : i + 6]].add(a[i - 6 : i + 12])
+        return {k: len(v) for k, v in found.items()}
+
+    n, m = places(toxic), places(ordinary)
+    size = [sum(map(len, t)) for t in (toxic, ordinary)]
+    want = {int.from_bytes(k, "little"): c for k, c in n.items() if c / size[0] >= toxicity.RATIO * (m.get(k, 0) + toxicity.SMOOTHING) / size[1]}
+    for parts in (1, 4):
+        monkeypatch.setattr(toxicity, "COUNT_PARTS", parts)
+        runs, weights = toxicity._toxic_runs(toxic, ordinary)
+        assert dict(zip(runs.tolist(), weights.tolist())) == want and want
 
 
 # Fingerprints

@@ -1,8 +1,9 @@
 """Toxicity by compression distance: how much shorter a window gets with a dictionary of toxic text.
 
-Two zstandard dictionaries are trained, one on windows of ordinary labelled documents, one on what toxic ones have
-beyond those: runs of words that are many times as frequent in toxic documents as in ordinary ones (trained on whole
-toxic documents it would mostly hold what both have). Every window of eight
+Two zstandard dictionaries are trained, one on windows of ordinary labelled documents, one on the whole text of toxic
+ones. The trainer of the second covers the text as zstandard's own does (segments with the most frequent byte runs), but
+a run's frequency is net of ordinary text: only runs many times as frequent in toxic documents count, or it would mostly
+hold what both kinds have. Every window of eight
 words of a text is compressed under the ordinary dictionary alone and under both; ordinary content sits at the same
 distance in either, so the difference in length is due to toxic content. A logistic calibration, fitted on labelled
 documents that the dictionaries haven't seen, turns a document's differences into a score.
@@ -14,6 +15,7 @@ import pickle
 import random
 import zlib
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +28,23 @@ from tidelog.llm import text as tx
 from tidelog.sources.tables import written
 
 #: Words in a window; bytes of the dictionaries; compression level.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 8, 32_768, 4_096, 3
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 8, 65_536, 4_096, 12
 #: The bounded training sample: documents of each label, those with the smallest hashes of their ids, and bytes of
 #: text in all, half of them for each label. Whole texts are taken, in hash order; those that don't fit in what is left
 #: are passed over.
-MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_BYTES = 2_000, 10_000, 64_000_000
-#: Windows, and runs round toxic words, that a dictionary is trained on.
+MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_BYTES = 5_000, 10_000, 64_000_000
+#: Windows that the ordinary dictionary is trained on, drawn from all those of its documents.
 MAX_SAMPLES = 40_000
 #: The parts of the sample's ordinary and toxic documents that train dictionaries; the rest calibrates.
 DICTIONARY_PART = {0: 0.75, 1: 0.6}
-#: A word is toxic if it is so many times as frequent in toxic documents as in ordinary ones, which count as having it
-#: in SMOOTHING more places than they do. A place is a pair of neighbours; near copies of one document show a word in
-#: one place only.
+#: Bytes in a run whose frequency counts, and in a segment of the toxic dictionary.
+RUN, SEGMENT = 6, 16
+#: A run is toxic if it is so many times as frequent in toxic text as in ordinary text, which counts as having it in
+#: SMOOTHING more places than it does. A place is a run with the six bytes before and after it, so near copies of one
+#: document show a run in one place only.
 RATIO, SMOOTHING = 10, 5
+#: Parts, by run, in which places are counted, so that a part's places fit in the driver's memory.
+COUNT_PARTS = 2
 
 
 def held_out(key: Column) -> Column:
@@ -68,28 +74,17 @@ def _windows(a: np.ndarray, off: np.ndarray, size: int = WINDOW) -> tuple[np.nda
     return start[heads], until - start[heads], doc[heads]
 
 
-def _aligned(content: bytes) -> bytes:
-    """The content at each of three alignments, in a multiple of three bytes.
-
-    zstandard indexes every third byte of a dictionary: so all of the content can be found, and what follows it is
-    indexed at the same bytes as if it stood alone.
-    """
-    out = content
-    for _ in range(2):
-        out += b" " * ((1 - len(content)) % 3) + content
-    return b" " * (-len(out) % 3) + out
-
-
 class Scorer:
     """Compresses windows under both dictionaries."""
 
     def __init__(self, model: Model):
         self.weights = np.array(model.weights)
-        self.compressors = [self._compressor(model.ordinary), self._compressor(_aligned(model.toxic) + model.ordinary)] if model.toxic else []
+        self.compressors = [self._compressor(model.ordinary), self._compressor(model.toxic + model.ordinary)] if model.toxic else []
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        # As raw content, what isn't matched costs a byte a byte, so a match shows in the length.
+        # As raw content, what isn't matched costs a byte a byte, so a match shows in the length. At this level zstandard
+        # finds the cheapest parse, and matches anywhere in a dictionary; lower ones index only some of its places.
         dictionary = zstandard.ZstdCompressionDict(content or b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=max(8, len(content)), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False)
         dictionary.precompute_compress(compression_params=parameters)
@@ -135,44 +130,111 @@ def _trained(size: int, samples: list[bytes], k: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[:size]
 
 
-def _placed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, and of the places they stand in, once each; a place has its word and both neighbours."""
-    words, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for i in range(0, len(texts), 500):
-        a, off = _joined(texts[i : i + 500])
-        start, end, doc = tx.word_bounds(a, off)
-        h = tx.word_hashes(a, start, end).astype(np.uint64)
-        edge = np.append(doc[1:] != doc[:-1], True)[: len(h)]
-        after = np.where(edge, np.uint64(0), np.roll(h, -1))
-        before = np.where(np.roll(edge, 1), np.uint64(0), np.roll(h, 1))
-        place, first = np.unique((before * np.uint64(0x9E3779B97F4A7C15) + h) * np.uint64(0xC2B2AE3D27D4EB4F) + after, return_index=True)
-        words.append(h[first])
-        places.append(place)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return np.concatenate(words)[first], place
-
-
-def _runs(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The longest runs of toxic words in ``toxic``, each as often as it comes, with a space on either side."""
-    words, n = np.unique(_placed(toxic)[0], return_counts=True)
-    known, m = np.unique(_placed(ordinary)[0], return_counts=True)
-    at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-    usual = np.where(known[at] == words, m[at], 0) if len(known) else np.zeros(len(words))
-    total = [max(1, sum(len(x.split()) for x in texts)) for texts in (toxic, ordinary)]
-    chosen = words[n / total[0] >= RATIO * (usual + SMOOTHING) / total[1]]
-    out = []
+def _squeezed(text: bytes) -> np.ndarray:
+    """The words with one space around each."""
+    return np.frombuffer(b" " + b" ".join(text.split()) + b" ", np.uint8)
+
+
+def _run_hashes(a: np.ndarray) -> np.ndarray:
+    """The runs of RUN bytes, as numbers."""
+    h = np.zeros(max(0, len(a) - RUN + 1), np.uint64)
+    for i in range(RUN if len(h) else 0):
+        h |= a[i : len(h) + i].astype(np.uint64) << np.uint64(8 * i)
+    return h
+
+
+def _chunks(texts: list[bytes]):
+    """Runs of some texts end to end, with RUN zero bytes between texts, and a mask of those without a zero byte."""
+    gap = np.zeros(2 * RUN, np.uint8)
+    for i in range(0, len(texts), 200):
+        a = np.concatenate([gap, *[x for t in texts[i : i + 200] for x in (_squeezed(t), gap)]])
+        clear = np.cumsum(np.concatenate(([0], a == 0)))
+        yield _run_hashes(a), clear[RUN:] == clear[:-RUN]
+
+
+def _toxic_runs(toxic: list[bytes], ordinary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(runs, places): the runs that are RATIO times as frequent in toxic text, sorted, and in how many places."""
+    size = [max(1, sum(map(len, texts))) for texts in (toxic, ordinary)]
+    least = RATIO * SMOOTHING * size[0] / size[1]  # places that a run needs if no ordinary text has it
+    known, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for h, clear in _chunks(toxic):
+        u, n = np.unique(h[clear], return_counts=True)
+        known, at = np.unique(np.concatenate((known, u)), return_inverse=True)
+        often = np.bincount(at, weights=np.concatenate((often, n)), minlength=len(known)).astype(np.int64)
+    known = known[often >= least]
+    runs, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part in range(COUNT_PARTS if len(known) else 0):
+        own = known[part::COUNT_PARTS]
+        n, m = (_places(texts, own) for texts in (toxic, ordinary))
+        good = n / size[0] >= RATIO * (m + SMOOTHING) / size[1]
+        runs.append(own[good])
+        weights.append(n[good])
+    runs, weights = np.concatenate(runs), np.concatenate(weights)
+    order = np.argsort(runs)
+    return runs[order], weights[order]
+
+
+def _places(texts: list[bytes], runs: np.ndarray) -> np.ndarray:
+    """In how many different places each of the sorted runs stands."""
+    if not len(runs):
+        return np.zeros(0, np.int64)
+    flag = lambda h: (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+    flags = np.zeros(1 << 22, bool)  # most runs are told from these by a flag, without a search
+    flags[flag(runs)] = True
+    found, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for h, _ in _chunks(texts):
+        maybe = np.flatnonzero(flags[flag(h)])
+        at = np.minimum(np.searchsorted(runs, h[maybe]), len(runs) - 1)
+        good = runs[at] == h[maybe]  # a run of the gap isn't among them
+        hit, at = maybe[good], at[good]
+        place = tx.mix(h[hit - RUN] * np.uint64(0x9E3779B97F4A7C15) + h[hit]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[hit + RUN]
+        place, first = np.unique(place, return_index=True)
+        found.append(place)
+        where.append(at[first].astype(np.int32))
+    first = np.unique(np.concatenate(found), return_index=True)[1]
+    return np.bincount(np.concatenate(where)[first], minlength=len(runs))
+
+
+def _covering(toxic: list[bytes], ordinary: list[bytes], size: int) -> bytes:
+    """The toxic dictionary's content: of the segments of toxic text always the one with the most places of toxic runs a
+    byte that no segment before it has, up to ``size`` bytes; the best come last, where they're nearest to a window."""
+    runs, weights = _toxic_runs(toxic, ordinary)
+    if not len(runs):
+        return b""
+    segments: dict[bytes, None] = {}
     for x in toxic:
-        a, off = _joined([x])
-        start, end, _ = tx.word_bounds(a, off)
-        hit = np.isin(tx.word_hashes(a, start, end).astype(np.uint64), chosen)
-        turn = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-        out += [b" " + b" ".join(x[start[i] : end[j - 1]].split()) + b" " for i, j in zip(turn[::2], turn[1::2])]
-    return out
+        a = _squeezed(x)
+        h = _run_hashes(a)
+        at = np.minimum(np.searchsorted(runs, h), len(runs) - 1)
+        hit = np.flatnonzero(runs[at] == h)
+        if len(hit):
+            cut = np.flatnonzero(np.diff(hit) > RUN)
+            data = a.tobytes()
+            for s, e in zip(hit[np.append(0, cut + 1)].tolist(), (hit[np.append(cut, len(hit) - 1)] + RUN).tolist()):
+                segments.update((data[i : min(e, i + SEGMENT)], None) for i in range(s, max(s + 1, e - RUN + 1), SEGMENT // 2))
+    value = dict(zip(runs.tolist(), weights.tolist()))
+    inside = {s: [k for k in set(_run_hashes(np.frombuffer(s, np.uint8)).tolist()) if k in value] for s in segments}
+    waiting = [(-sum(map(value.__getitem__, k)) / len(s), s) for s, k in inside.items()]
+    heapify(waiting)
+    out: list[bytes] = []
+    left = size
+    while waiting and left > 0:
+        s = heappop(waiting)[1]
+        now = -sum(map(value.__getitem__, inside[s])) / len(s)
+        if not now:
+            continue
+        if waiting and now > waiting[0][0]:
+            heappush(waiting, (now, s))
+            continue
+        out.append(s)
+        left -= len(s)
+        value.update((k, 0) for k in inside[s])
+    return b"".join(reversed(out))
 
 
 def fit(sample: list[tuple[int, bytes]], share: float | None = None) -> Model:
     """From (toxic 0 or 1, text) rows. ``share`` is the part of all labelled rows that is toxic, which the calibration
-    assumes; by default it is the sample's. Without toxic and ordinary rows, or without toxic words, all scores are 0.
+    assumes; by default it is the sample's. Without toxic and ordinary rows, or without toxic runs, all scores are 0.
     """
     rng = random.Random(5)
     rows = sorted({(text, int(y)) for y, text in sample if text})
@@ -182,17 +244,12 @@ def fit(sample: list[tuple[int, bytes]], share: float | None = None) -> Model:
     ordinary, toxic = cut[0][: at[0]], cut[1][: at[1]]
     if not ordinary or not toxic:
         return Model(b"", b"", ())
-    runs = _runs(toxic, ordinary)
-    rng.shuffle(runs)
-    windows: list[bytes] = []
-    for x in ordinary:
-        if len(windows) >= 2 * MAX_SAMPLES:
-            break
-        a, off = _joined([x])
-        start, length, _ = _windows(a, off, 2 * WINDOW)
-        windows += [x[s : s + n] for s, n in zip(start.tolist(), length.tolist())]
-    rng.shuffle(windows)
-    model = Model(_trained(ORDINARY_BYTES, windows[:MAX_SAMPLES], 64), _trained(TOXIC_BYTES, runs[:MAX_SAMPLES], 16) if runs else b"", ())
+    windows: list[tuple[int, int, int]] = []
+    for i, x in enumerate(ordinary):
+        start, length, _ = _windows(*_joined([x]), 2 * WINDOW)
+        windows += [(i, s, n) for s, n in zip(start.tolist(), length.tolist())]
+    chosen = rng.sample(windows, min(MAX_SAMPLES, len(windows)))
+    model = Model(_trained(ORDINARY_BYTES, [ordinary[i][s : s + n] for i, s, n in chosen], 64), _covering(toxic, ordinary, TOXIC_BYTES), ())
     if not model.toxic:
         return model
     rest = [(1, x) for x in cut[1][at[1] :]] + [(0, x) for x in cut[0][at[0] :]]
@@ -252,7 +309,7 @@ def _scorer(dumped: bytes) -> Scorer:
 def score(docs: DataFrame, model: Model, keep: list[str] | tuple[str, ...] = ("doc_id",), text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The kept columns, ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5), or ``names``, one row per input row.
 
-    Whole texts are scored, null ones as empty. Nothing but the text counts. The model, some 40 KB, is broadcast.
+    Whole texts are scored, null ones as empty. Nothing but the text counts. The model, some 70 KB, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.dump())
     kept = list(keep)
