@@ -44,7 +44,7 @@ RUN, SEGMENT = 6, 16
 #: document show a run in one place only.
 RATIO, SMOOTHING = 10, 5
 #: Parts, by run, in which places are counted, so that a part's places fit in the driver's memory.
-COUNT_PARTS = 2
+COUNT_PARTS = 6
 
 
 def held_out(key: Column) -> Column:
