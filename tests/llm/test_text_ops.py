@@ -408,6 +408,37 @@ def test_token_files(spark, awkward, empty, documents, per_task, per_file):
     assert tokenfile.read(spark, tokenfile.write(empty, JSON)).count() == 0
 
 
+SPECIAL = ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> <|endoftext|>\n", "<|endoftext|", "<|endoftext |>", "x<|endoftext|>é<|END|>", "'s<|endoftext|>'s"]
+
+
+def test_pieces_equal_the_library_on_every_document():
+    """The pieces' ids against whole texts given to the library: all documents of the largest table, and crafted texts."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    big = next(d for d in ("/root/testdata/sf0.1", "/root/testdata/sf0.01", SF) if os.path.exists(f"{d}/documents.parquet"))
+    texts = [x or "" for x in pq.read_table(f"{big}/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    texts += SPECIAL + [x or "" for _, x in awkward_rows()]
+    rng = random.Random(4)
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|", "|>", "a", "É", " ", "\n", "12", "'re", "　", "ſ", "東"]) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    tokenizer = Tokenizer.from_file(JSON)
+    with open(JSON, "rb") as f:
+        pieces = tokenfile.Pieces(f.read(), size=20_000)  # generations turn over
+    for at in range(0, len(texts), 200):
+        some = texts[at : at + 200]
+        want = [np.array(e.ids, pieces.type).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        assert pieces.encode(some) == want
+    assert tokenizer.encode("<|endoftext|>", add_special_tokens=False).ids == [50256] == np.frombuffer(pieces.encode(["<|endoftext|>"])[0], pieces.type).tolist()
+
+
+def test_token_files_with_added_tokens(spark):
+    tokenizer = Tokenizer.from_file(JSON)
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id bigint, text string")
+    got = tokenfile.read(spark, tokenfile.write(df, JSON), with_ids=True).orderBy("start").collect()
+    assert [r.ids for r in got] == [tokenizer.encode(x, add_special_tokens=False).ids + [2] for x in SPECIAL]
+
+
 def test_ranks_and_json_agree(tik):
     tokenizer = Tokenizer.from_file(JSON)
     with open(RANKS, "rb") as f:

@@ -8,6 +8,7 @@ bit position and a short scan, without a table of 64-bit offsets.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -142,7 +143,9 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts with one of these go whole to the library, which finds them before anything else.
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.uint16 if self.width == 2 else np.uint32
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -179,9 +182,10 @@ class Pieces(dict):
         self.fresh = []
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The id bytes of each text. Texts with characters on which the engines might differ go whole to the library."""
+        """The id bytes of each text, those that the library gives for the whole of it. Texts with added tokens, or with
+        characters on which the engines might differ, are given to it whole."""
         place = self.__getitem__
-        cut = [list(map(place, split_sure(x))) if sure(x) else None for x in texts]
+        cut = [list(map(place, split_sure(x))) if sure(x) and not self.added.search(x) else None for x in texts]
         self._learn()
         part = self.parts.__getitem__
         out = [b"".join(map(part, c)) if c is not None else np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.type).tobytes() for x, c in zip(texts, cut)]
@@ -218,6 +222,7 @@ def _store(folder: str, name: str, data: bytes) -> None:
 def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = END_ID, rows_per_task: int = ROWS_PER_TASK, ids_per_file: int = IDS_PER_FILE) -> str:
     """Encode every text, end each with ``end_id``, and write token files in key order; returns the folder.
 
+    Ids are those of the library for the whole text; added tokens that stand in a text are found as it finds them.
     A null text is empty: only the end id. Null keys come last; rows with one key follow each other in an order
     given by their ids. An empty table gives no file. Only ids are shuffled, not texts.
     """
@@ -268,7 +273,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key:
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """``key``, ``start`` (ids of all documents before), ``n_tokens``, ``ids_crc32`` (of the ids as little-endian
-    32-bit numbers) and, if asked for, ``ids``; all from the files."""
+    32-bit numbers) and, if asked for, ``ids``; all from the files, offsets by ``select``."""
     manifest = spark.read.schema("place bigint, name string, n_docs bigint, n_ids bigint").parquet(f"{folder}/manifest")
     files = with_running(manifest, "place", value=F.col("n_ids"), name="base").select("base", "name")
     names = ["key", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
@@ -279,11 +284,11 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                 fs, path = pafs.FileSystem.from_uri(folder)
                 with fs.open_input_file(f"{path}/{name}") as f:
                     file = TokenFile(f.read())
-                bounds = file.bounds.all()
                 for at in range(0, file.n_docs, 1000):
                     to = min(file.n_docs, at + 1000)
-                    ids = [file.ids[bounds[i] : bounds[i + 1]].astype("<u4") for i in range(at, to)]
-                    cols = [pa.array(file.keys[at:to], pa.int64()), pa.array(base + bounds[at:to]), pa.array(bounds[at + 1 : to + 1] - bounds[at:to]), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+                    bounds = np.fromiter(map(file.bounds.select, range(at, to + 1)), np.int64, to + 1 - at)
+                    ids = [file.ids[i:j].astype("<u4") for i, j in zip(bounds[:-1], bounds[1:])]
+                    cols = [pa.array(file.keys[at:to], pa.int64()), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
                     if with_ids:
                         cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(cols, names=names)
