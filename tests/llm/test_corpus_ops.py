@@ -159,20 +159,74 @@ def test_classes_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == sorted(grouped)
 
 
-def test_buckets_larger_than_a_block(spark, monkeypatch):
-    """One group of different near copies, compared in small blocks: no link is lost."""
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+def signed(docs):
+    """Each text's 8-bit signature and its bands."""
+    marks, bands = [], []
+    for _, x in docs:
+        data = np.frombuffer(x.encode(), np.uint8)
+        held = neardup.signatures(*neardup.shingles(data, np.array([0, len(data)])), 1)
+        marks.append(neardup.small(held)[0])
+        bands.append(neardup.band_hashes(held)[0])
+    return np.stack(marks), np.stack(bands)
+
+
+@pytest.mark.parametrize("block,rounds,changes", [(7, 3, [1]), (7, 1, [1, 8, 20, 40]), (256, 3, [1, 8, 20, 40]), (5, 3, [25, 50])])
+def test_links_of_a_group_against_all_signatures(spark, monkeypatch, block, rounds, changes):
+    """One group of different near copies, near each other or not: a link that the signatures have is counted if it shares
+    a band, and may be if it follows from others."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
     docs = []
     for i in range(90):
         other = list(base)
-        other[rng.randrange(400)] = f"x{i}"
+        for at in rng.sample(range(400), rng.choice(changes)):
+            other[at] = f"x{i}y{at}"
         docs.append((i, " ".join(other)))
     docs += [(100 + i, docs[0][1]) for i in range(50)]
-    got = neardup.classify(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
-    assert {(r.class_id, r.n_links) for r in got} == {(0, 89)}
-    assert {r.n_copies for r in got if r.doc_id >= 100} == {51}
+    marks, bands = signed(docs[:90])
+    linked = (marks[:, None] != marks[None]).sum(2) <= neardup.reach(neardup.THRESHOLD)
+    met = linked & (bands[:, None] == bands[None]).any(2)
+    got = {r.doc_id: r for r in neardup.classify(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert all(met[i].sum() - 1 <= got[i].n_links <= linked[i].sum() - 1 for i in range(90)) and sum(r.n_links for k, r in got.items() if k < 90) % 2 == 0
+    assert {r.n_copies for k, r in got.items() if k >= 100} == {51}
+    assert all(got[i].class_id == got[j].class_id for i in range(90) for j in range(90) if met[i, j])
+    if changes == [1]:
+        assert {(r.class_id, r.n_links) for r in got.values()} == {(0, 89)}
+
+
+def test_reach():
+    assert neardup.reach(0.5) == 127 and neardup.reach(1.0) == 0 and neardup.reach(1.1) == -1 and neardup.reach(0.0) == 256
+
+
+def test_a_group_of_20_000_near_copies_costs_work_in_proportion(spark, monkeypatch):
+    """A node for each of n different near copies: what is compared and written grows with n, not with its pairs."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 62, 256, np.uint64)
+    sizes = {}
+    for n in (5_000, 20_000):
+        held = np.tile(base, (n, 1))
+        for k in range(12):
+            held[np.arange(n), rng.integers(0, 256, n)] = rng.integers(1, 1 << 62, n, np.uint64)
+        bands = tx.signed(neardup.band_hashes(held))
+        rows = [(i, m.tobytes(), b.tolist(), 1) for i, (m, b) in enumerate(zip(neardup.small(held), bands))]
+        nodes = spark.createDataFrame(rows, "node bigint, marks binary, bands array<bigint>, texts bigint").repartition(8).cache()
+        tables = collections.Counter()
+
+        def counted(df, what):
+            out = neardup_written(df, what)
+            tables[what] += out.count()
+            return out
+
+        neardup_written = neardup.written
+        monkeypatch.setattr(neardup, "written", counted)
+        got = neardup._connected(nodes, neardup.THRESHOLD).agg(F.min("linked"), F.max("linked"), F.countDistinct("root"), F.count(F.lit(1))).first()
+        monkeypatch.setattr(neardup, "written", neardup_written)
+        assert tuple(got) == (n - 1, n - 1, 1, n)
+        sizes[n] = sum(v for k, v in tables.items())
+        nodes.unpersist()
+    assert sizes[20_000] < 4.4 * sizes[5_000]
 
 
 def test_near_duplicate_edges(spark, awkward, empty):

@@ -5,8 +5,12 @@ the shingle's weight) to random registers; a register keeps the shingle of its e
 next point would come after the last register's. Two texts agree in a register with probability equal to their
 probability Jaccard similarity. Bands of registers give candidates, all registers verify them.
 
-Equal texts are one class from the start, and texts with equal signatures one node, so copies never pair up. Members
-of one bucket are compared in blocks of a bounded size and only verified links leave a task; no bucket is cut off.
+Equal texts are one class from the start, and texts with equal signatures one node, so copies never pair up. The number
+of registers in which two signatures differ is a metric, so most links follow from others and aren't looked for: nodes
+gather round leaders at less than half the distance of a link, each with each other linked by the triangle inequality;
+of two gatherings the leaders' distance and the radii tell that all pairs are links, or none. Only where neither holds
+are members compared, in blocks of a bounded size, and only their counts leave a task. So a group of any number of near
+copies costs work in proportion to it, no pairs of its members are written, and no bucket is cut off.
 """
 
 from __future__ import annotations
@@ -21,11 +25,10 @@ from tidelog.sources.tables import written
 
 #: Words in a shingle; registers; registers in a band and bands; similarity from which texts are linked.
 SHINGLE, REGISTERS, BAND, BANDS, THRESHOLD = 3, 256, 4, 48, 0.5
-#: Members of a bucket that are compared with each other at once.
+#: Leaders, or members, that are compared with each other at once.
 BLOCK = 256
-#: A pair is told in the first of its shared bands only: in so many of those that its 8-bit registers agree in. They
-#: agree in a band that isn't shared with a chance of some 1 in 100, in three before the first shared one hardly ever.
-TOLD = 3
+#: Rounds in which nodes look for a leader; who has none by then leads itself, which only costs comparisons.
+ROUNDS = 3
 
 _BREAK = tx.SPACE.copy()
 _BREAK[[b for b in range(33, 128) if not chr(b).isalnum()]] = True
@@ -121,73 +124,190 @@ def _signed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, t1 bigint, t2 bigint, node bigint, marks binary, bands array<bigint>")
 
 
-def _compare(batches, threshold: float):
-    """Rows (bucket, i, j, block, band, node, marks) sorted by the first three: the verified pairs of each group."""
-    waiting: pa.Table | None = None
+def reach(threshold: float, registers: int = REGISTERS) -> int:
+    """In how many registers two signatures may differ and be similar; -1: in none."""
+    return int((similarity(1 - np.arange(registers + 1) / registers) >= threshold).sum()) - 1
 
-    def links(table: pa.Table):
-        group = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
-        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-        band = table.column("band").to_numpy()
-        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(node), -1)
 
-        def keep(x, y):
-            """The verified pairs of rows x and y that are told here."""
-            equal = marks[x] == marks[y]
-            ok = np.flatnonzero((similarity(equal.mean(1)) >= threshold) & (node[x] != node[y]))
-            equal, x, y = equal[ok], x[ok], y[ok]
-            shared = equal[:, : BAND * BANDS].reshape(len(ok), BANDS, BAND).all(2)
-            first = (np.cumsum(shared, 1)[np.arange(len(ok)), band[x]] <= TOLD) if len(ok) else np.zeros(0, bool)
-            return np.minimum(node[x], node[y])[first], np.maximum(node[x], node[y])[first]
-
-        head = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(1))))
-        size = np.diff(np.append(head, len(node)))
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        two = head[size == 2]
-        for at in range(0, len(two), 4096):
-            out.append(keep(two[at : at + 4096], two[at : at + 4096] + 1))
-        for x, n in zip(head[size > 2].tolist(), size[size > 2].tolist()):
-            i, j = group[x, 1:]
-            rows = np.arange(x, x + n)
-            left, right = (rows, rows) if i == j else (rows[block[x : x + n] == i], rows[block[x : x + n] == j])
-            for at in range(0, len(left), 16):
-                part = left[at : at + 16]
-                p, q = np.repeat(part, len(right)), np.tile(right, len(part))
-                once = (p < q) if i == j else np.ones(len(p), bool)
-                out.append(keep(p[once], q[once]))
-        pair = np.stack([np.concatenate(c) for c in zip(*out)], 1)
-        pair = np.unique(pair, axis=0) if len(pair) else pair
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+def _distance(marks: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (marks[x] != marks[y]).sum(1)
+
+
+def _marks(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
 
+def _by_group(batches, keys: tuple[str, ...], handle):
+    """``handle`` of tables of whole groups, from rows sorted by the keys."""
+    waiting: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         waiting = pa.concat_tables([waiting, table]).combine_chunks() if waiting is not None else table
         if not len(waiting):
             continue
-        last = [waiting.column(c)[len(waiting) - 1].as_py() for c in ("bucket", "i", "j")]
         same = np.ones(len(waiting), bool)
-        for c, v in zip(("bucket", "i", "j"), last):
-            same &= waiting.column(c).to_numpy() == v
+        for c in keys:
+            column = waiting.column(c).to_numpy()
+            same &= column == column[-1]
         cut = int(np.argmax(same))
         if cut:
-            yield links(waiting.slice(0, cut))
+            yield handle(waiting.slice(0, cut))
             waiting = waiting.slice(cut)
     if waiting is not None and len(waiting):
-        yield links(waiting)
-
-
-def _links(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs (a < b) of nodes that share a bucket."""
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = buckets.join(full, "bucket").select("bucket", "band", "node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    laid = members.select("bucket", "band", "node", "block", other.alias("other")).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "node")
-    with_marks = laid.join(nodes.select("node", "marks"), "node").select("bucket", "i", "j", "block", "band", "node", "marks")
+        yield handle(waiting)
+
+
+def _groups(table: pa.Table, keys: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of each row, and the starts and sizes of the groups."""
+    group = np.stack([table.column(c).to_numpy() for c in keys], 1)
+    head = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(1))))
+    return group, head, np.diff(np.append(head, len(group)))
+
+
+def _pairs(left: np.ndarray, right: np.ndarray, within: bool):
+    """All pairs of the two (p before q, if they're the same), some thousands at a time."""
+    for at in range(0, len(left), 16):
+        part = left[at : at + 16]
+        p, q = np.repeat(part, len(right)), np.tile(right, len(part))
+        yield (p[p < q], q[p < q]) if within else (p, q)
+
+
+_IN_BUCKET, _IN_CROSS = ("bucket", "i", "j"), ("lead", "i", "j")
+
+
+def _near_leaders(batches, most: int):
+    """Rows (bucket, i, j, block, node, radius, marks) sorted by the first three: pairs of leaders of which members may
+    be linked, and whether all of them must be."""
+
+    def links(table: pa.Table):
+        group, head, size = _groups(table, _IN_BUCKET)
+        node, block, radius = (table.column(c).to_numpy() for c in ("node", "block", "radius"))
+        marks = _marks(table.column("marks"))
+        found: set[tuple[int, int, bool]] = set()
+
+        def keep(x, y):
+            d, slack = _distance(marks, x, y), radius[x] + radius[y]
+            ok = np.flatnonzero((d <= most + slack) & (node[x] != node[y]))
+            x, y = x[ok], y[ok]
+            found.update(zip(np.minimum(node[x], node[y]).tolist(), np.maximum(node[x], node[y]).tolist(), (d[ok] + slack[ok] <= most).tolist()))
+
+        two = head[size == 2]
+        for at in range(0, len(two), 4096):
+            keep(two[at : at + 4096], two[at : at + 4096] + 1)
+        for x, n in zip(head[size > 2].tolist(), size[size > 2].tolist()):
+            i, j = group[x, 1:]
+            rows = np.arange(x, x + n)
+            left, right = (rows, rows) if i == j else (rows[block[x : x + n] == i], rows[block[x : x + n] == j])
+            for p, q in _pairs(left, right, i == j):
+                keep(p, q)
+        a, b, sure = zip(*found) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+
+    yield from _by_group(batches, _IN_BUCKET, links)
+
+
+def _cross(batches, most: int):
+    """Rows (lead, i, j, side, node, leader, texts, marks) sorted by the first three: for each node the texts on the
+    other side that it's linked with, and pairs (a, b) of leaders with a link between their members."""
+
+    def count(table: pa.Table):
+        _, head, size = _groups(table, _IN_CROSS)
+        node, side, leader, texts = (table.column(c).to_numpy() for c in ("node", "side", "leader", "texts"))
+        marks = _marks(table.column("marks"))
+        linked = np.zeros(len(node), np.int64)
+        edges: set[tuple[int, int]] = set()
+        for x, n in zip(head.tolist(), size.tolist()):
+            rows = np.arange(x, x + n)
+            for p, q in _pairs(rows[side[x : x + n] == 0], rows[side[x : x + n] == 1], False):
+                ok = np.flatnonzero(_distance(marks, p, q) <= most)
+                p, q = p[ok], q[ok]
+                np.add.at(linked, p, texts[q])
+                np.add.at(linked, q, texts[p])
+                edges.update(zip(leader[p].tolist(), leader[q].tolist()))
+        some = np.flatnonzero(linked)
+        a, b = zip(*edges) if edges else ((), ())
+        none = [None] * len(a)
+        return pa.RecordBatch.from_arrays([pa.array([*node[some].tolist(), *none], pa.int64()), pa.array([*linked[some].tolist(), *none], pa.int64()), pa.array([None] * len(some) + list(a), pa.int64()), pa.array([None] * len(some) + list(b), pa.int64())], names=["node", "linked", "a", "b"])
+
+    yield from _by_group(batches, _IN_CROSS, count)
+
+
+def _gathered(nodes: DataFrame, full: DataFrame, most: int) -> DataFrame:
+    """node, ``leader`` and the distance to it, for all nodes in buckets with others.
+
+    A node may follow the smallest node of any of its buckets; of those at half a link's distance or less that lead, the
+    nearest is its leader. Who can't follow leads.
+    """
+    radius = most // 2
+    marks = nodes.select("node", "marks")
+    asked = full.where("node <> head").select("node", "head").distinct()
+    both = asked.join(marks, "node").join(marks.select(F.col("node").alias("head"), F.col("marks").alias("of_head")), "head").select("node", "head", "marks", "of_head")
+
+    def near(batches):
+        for batch in batches:
+            d = (_marks(pa.chunked_array([batch.column(2)])) != _marks(pa.chunked_array([batch.column(3)]))).sum(1) if batch.num_rows else np.zeros(0, np.int64)
+            hit = pa.array(np.flatnonzero(d <= radius))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(hit), batch.column(1).take(hit), pa.array(d.astype(np.int32)).take(hit)], names=["node", "head", "d"])
+
+    left = written(both.mapInArrow(near, "node bigint, head bigint, d int"), "near")
+    found = None
+    for _ in range(ROUNDS):
+        # Heads that could still follow don't lead yet; edges to those that do follow are gone.
+        leading = left.join(left.select(F.col("node").alias("head")).distinct(), "head", "left_anti")
+        got = written(leading.groupBy("node").agg(F.min(F.struct("d", "head")).alias("best")).select("node", F.col("best.head").alias("leader"), "best.d"), "followers")
+        found = got if found is None else found.unionByName(got)
+        left = written(left.join(got.select("node"), "node", "left_anti").join(got.select(F.col("node").alias("head")), "head", "left_anti"), "near")
+        if left.isEmpty():
+            break
+    return full.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"), F.coalesce("d", F.lit(0)).alias("d"))
+
+
+def _connected(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``node``, ``linked`` (texts of other nodes that are linked with it) and ``root``, equal for connected nodes.
+
+    ``nodes`` has node, marks, bands and texts. Nodes that share no bucket aren't there.
+    """
+    most = reach(threshold)
+    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    full = written(buckets.join(heads, "bucket").select("bucket", "node", "head"), "buckets")
+    gathered = written(_gathered(nodes, full, most).join(nodes.select("node", "texts"), "node"), "gathered")
+    clusters = written(gathered.groupBy("leader").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("n"), F.sum("texts").alias("texts")), "clusters")
+
+    # Leaders whose followers share a bucket.
+    meeting = full.select("bucket", "node").join(gathered.select("node", "leader"), "node").select("bucket", "leader").distinct()
+    crowded = meeting.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    placed = meeting.join(crowded, "bucket").withColumn("block", F.pmod(F.xxhash64("leader", "bucket"), F.col("blocks")).cast("int"))
+    laid = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("leader").alias("node"))
+    known = nodes.select("node", "marks").join(clusters.select(F.col("leader").alias("node"), "radius"), "node")
     # Groups hold at most about 2 x BLOCK rows, so a sort within hash partitions is enough to stream them.
-    parts = with_marks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return parts.mapInArrow(lambda batches: _compare(batches, threshold), "a bigint, b bigint").distinct()
+    parts = laid.join(known, "node").select(*_IN_BUCKET, "block", "node", "radius", "marks").repartition(*_IN_BUCKET).sortWithinPartitions(*_IN_BUCKET)
+    pairs = written(parts.mapInArrow(lambda batches: _near_leaders(batches, most), "a bigint, b bigint, sure boolean").distinct(), "pairs")
+
+    # Where the leaders don't tell, the members of the larger gathering meet those of all smaller ones in question.
+    sizes = clusters.select(F.col("leader").alias("of"), "n")
+    doubt = pairs.where("not sure").join(sizes.select(F.col("of").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("of").alias("b"), F.col("n").alias("nb")), "b")
+    larger = F.col("na") >= F.col("nb")
+    doubt = written(doubt.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("small"), F.greatest("na", "nb").alias("n0"), F.least("na", "nb").alias("n1")), "doubt")
+    shape = doubt.groupBy("lead").agg(F.ceil(F.max("n0") / BLOCK).cast("int").alias("b0"), F.ceil(F.sum("n1") / BLOCK).cast("int").alias("b1"))
+    member = gathered.select("node", "leader", "texts")
+    own = shape.join(member, F.col("lead") == F.col("leader")).select("lead", "b0", "b1", F.lit(0).alias("side"), "node", "leader", "texts")
+    others = doubt.select("lead", "small").join(shape, "lead").join(member, F.col("small") == F.col("leader")).select("lead", "b0", "b1", F.lit(1).alias("side"), "node", "leader", "texts")
+    block = lambda n: F.pmod(F.xxhash64("node", "lead"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = ["side", "node", "leader", "texts"]
+    crossed = own.select("lead", block("b0").alias("i"), every("b1").alias("j"), *rest).unionByName(others.select("lead", every("b0").alias("i"), block("b1").alias("j"), *rest))
+    parts = crossed.join(nodes.select("node", "marks"), "node").select(*_IN_CROSS, *rest, "marks").repartition(*_IN_CROSS).sortWithinPartitions(*_IN_CROSS)
+    crossing = written(parts.mapInArrow(lambda batches: _cross(batches, most), "node bigint, linked bigint, a bigint, b bigint"), "crossing")
+
+    sure = pairs.where("sure").select("a", "b")
+    roots = components(sure.unionByName(crossing.where("a is not null").select("a", "b"))).withColumnRenamed("node", "leader")
+    weight = clusters.select(F.col("leader").alias("other"), "texts")
+    ends = sure.select(F.col("a").alias("leader"), F.col("b").alias("other")).unionByName(sure.select(F.col("b").alias("leader"), F.col("a").alias("other")))
+    beside = ends.join(weight, "other").groupBy("leader").agg(F.sum("texts").alias("beside"))
+    each = crossing.where("node is not null").groupBy("node").agg(F.sum("linked").alias("one_by_one"))
+    of_cluster = clusters.select("leader", F.col("texts").alias("inside")).join(beside, "leader", "left").join(roots, "leader", "left").select("leader", (F.col("inside") + F.coalesce("beside", F.lit(0))).alias("shared"), F.coalesce("root", "leader").alias("root"))
+    return gathered.join(of_cluster, "leader").join(each, "node", "left").select("node", (F.col("shared") - F.col("texts") + F.coalesce("one_by_one", F.lit(0))).alias("linked"), "root")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -227,17 +347,12 @@ def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     signed = _signed_texts(docs, key, text)
     # Copies are counted before the shuffle.
     texts = written(signed.groupBy("t1", "t2").agg(F.min("key").alias("text_id"), F.count(F.lit(1)).alias("n_copies"), F.first("node").alias("node"), F.first("marks").alias("marks"), F.first("bands").alias("bands")), "texts")
-    nodes = texts.where("node is not null").groupBy("node").agg(F.first("marks").alias("marks"), F.first("bands").alias("bands"))
-    links = written(_links(nodes, threshold), "links")
-    roots = components(links)
-    sizes = texts.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("texts"))
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    degrees = ends.join(sizes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("texts").alias("linked"))
+    nodes = written(texts.where("node is not null").groupBy("node").agg(F.first("marks").alias("marks"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("texts")), "nodes")
+    found = _connected(nodes, threshold)
     known = (
         texts.select("t1", "t2", "text_id", "n_copies", "node")
-        .join(sizes, "node", "left")
-        .join(degrees, "node", "left")
-        .join(roots, "node", "left")
+        .join(nodes.select("node", "texts"), "node", "left")
+        .join(found, "node", "left")
         .select("t1", "t2", "text_id", "n_copies", (F.coalesce("texts", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     )
     known = written(known, "known")
