@@ -13,7 +13,7 @@ from tidelog.plans import batch
 from tidelog.plans.positions import bucket_of, with_running
 from tidelog.sources import codec, storage
 from tidelog.sources.log import commands_frame, from_commands
-from tidelog.streaming.ingest import StateTable
+from tidelog.streaming.ingest import StateTable, follow, ingest
 
 
 def two_entities(spark):
@@ -31,7 +31,7 @@ def results(log, *nodes):
 def test_gets_and_aggregates(spark):
     log = two_entities(spark)
     got = results(log, Get(0, "score"), Get(1, "name"), Get(2, "score"), Get(0, "nope"), Get(1, "data"), *[Aggregate("score", f) for f in ("sum", "count", "min", "max", "avg")], Aggregate("nope", "count"), Aggregate("name", "count"))
-    assert got == [[("Int", 42)], [("Str", "bob")], [("None", None)], [("None", None)], [("Blob", b"\4\5\6")], [("Sum", 142)], [("Count", 2)], [("Min", 42)], [("Max", 100)], [("Avg", 71.0)], [("None", None)], [("None", None)]]
+    assert got == [[("Int", 42)], [("Str", "bob")], [("None", None)], [("None", None)], [("Blob", b"\4\5\6")], [("IntSum", 142)], [("Count", 2)], [("IntMin", 42)], [("IntMax", 100)], [("IntAvg", 71.0)], [("None", None)], [("None", None)]]
     assert [r.v for r in history.column(log, "score").orderBy("pos").collect()] == [42, 100]
     assert history.sum_range(log, "score", 0, 2).first()[0] == 142 and history.sum_range(log, "score", 0, 1).first()[0] == 42
     assert history.sum_range(log, "nope", 0, 1).first()[0] is None
@@ -42,7 +42,43 @@ def test_gets_and_aggregates(spark):
 def test_scan_range_link(spark):
     log = from_commands(commands_frame(spark, [Insert(0, {"score": 42, "link": 1}), Insert(1, {"score": 7, "name": "bob"}), Insert(5, {"link": 99})]))
     got = results(log, Scan("score"), Scan("name"), Scan("nope"), Range(0, "score", 2), Range(1, "score", 9), Range(5, "score", 2), Range(0, "name", 2), Link(0, "link", "name"), Link(5, "link", "name"), Link(0, "score", "name"), Link(9, "link", "name"))
-    assert got == [[("IntList", 42), ("IntList", 7)], [("StrList", "bob")], [("None", None)], [("IntList", 42), ("IntList", 7)], [("IntList", 7)], [("None", None)], [("None", None)], [("Str", "bob")], [("None", None)], [("None", None)], [("None", None)]]
+    assert got == [[("IntList", 42), ("IntList", 7)], [("StrList", "bob")], [("None", None)], [("IntRange", 42), ("IntRange", 7)], [("IntRange", 7)], [("None", None)], [("None", None)], [("Str", "bob")], [("None", None)], [("None", None)], [("None", None)]]
+
+
+def test_an_empty_column_has_a_result(spark):
+    log = from_commands(commands_frame(spark, [Insert(1, {"a": 5})]), {"a": INT, "none": INT, "text": STR})
+    assert results(log, Scan("none"), Scan("text"), Scan("a"), Scan("nope")) == [[("IntList", None)], [("StrList", None)], [("IntList", 5)], [("None", None)]]
+
+
+def test_two_sources_in_one_state(spark):
+    """Deltas of two checkpoints, a replay after a fold, and a restart with a new checkpoint."""
+    frame = commands_frame(spark, [Insert(i % 40, {"a": i}) for i in range(120)])
+    landings = []
+    for k in range(2):
+        landings.append(storage_path())
+        frame.where(F.col("entity_id") % 2 == k).repartition(3).write.mode("overwrite").parquet(landings[k])
+    found = StateTable(spark, storage_path(), frame.schema, fold_after=2)
+    state_of = lambda: {r.entity_id: r.attrs_int["a"] for r in found.current().collect()}
+    ingest(landings[0], found, storage_path(), 1)
+    assert state_of() == {i: 80 + i for i in range(0, 40, 2)}
+    ingest(landings[1], found, storage_path(), 1)
+    want = {i: 80 + i for i in range(40)}
+    assert state_of() == want
+    before = found.current()
+    found.fold()
+    assert {r.entity_id: r.attrs_int["a"] for r in before.collect()} == want  # what a reader has is still there
+    found.merge(frame.where("seq < 60"), 0, "again")
+    found.merge(frame.where("seq < 0"), 0, "again")  # known by source and number
+    ingest(landings[0], found, storage_path(), 1)
+    assert state_of() == want and found.vacuum() and state_of() == want
+    more = commands_frame(spark, [Insert(50, {"a": 1})], 1000)
+    query = follow(landings[0], found, storage_path(), LogOptions(flush_micros=20_000).trigger)
+    try:
+        more.write.mode("append").parquet(landings[0])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert state_of() == want | {50: 1}
 
 
 def test_ranges_of_more_than_1000_lengths(spark):
@@ -224,14 +260,20 @@ def test_engine(spark):
     engine.wake("a.b")
     assert not engine.is_sleeping("a.b")
     assert engine.store("a.b").count() == 1 and engine.compact("a.b") == 1
-    assert engine.inspect_metadata().collect() == [("a.b", 1, 1)]
+    p.write_int(9, "v", 5)
+    assert engine.store("a.b").count() == 2 and engine.store("a.b").count() == 2
+    assert engine._routes["a.b"].store.records().count() == 2  # each command once
+    assert engine.vacuum("a.b") == ["v000000"]
+    assert engine.inspect_metadata().collect() == [("a.b", 2, 2)]
     again = Engine(spark, engine.base).register_partition("a.b")  # what the folder has
     again.write_int(8, "v", 4)
     assert again.read_int(7, "v") == 3 and again.read_int(8, "v") == 4
 
 
 def test_memory_log(spark):
-    p = Engine(spark).register_partition("m", LogOptions(durable=False))
+    engine = Engine(spark)
+    p = engine.register_partition("m", LogOptions(durable=False, batch=1))
+    assert not storage.Files(spark, engine.path("m")).exists() and engine.store("m").count() == 0 and engine.compact("m") is None
     p.write_int(1, "v", 5)
     assert p.read_int(1, "v") == 5
     p.log_.append(commands_frame(spark, [Delete(1), Insert(2, {"v": 6})], 10))
@@ -239,6 +281,25 @@ def test_memory_log(spark):
     assert p.read_int(1, "v") is None and p.read_int(2, "v") == 6 and p.read_int(3, "v") == 7
 
 
+def test_point_reads_scan_once_with_a_pushed_filter(spark):
+    log = facade.CommandLog(spark)
+    log.send(Insert(1, {"a": 5}), Insert(2, {"a": "x"}))
+    plan = state.get(log.of_entity(1, {"a": INT}), "a", INT)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "EqualTo(entity_id,1)" in plan
+    read = facade.PartitionReader(log)
+    assert read.get_int(1, "a") == 5 and read.get_str(1, "a") is None and read.get_str(2, "a") == "x"
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidelog.sources import tables
+
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        tables.shared_dir(SimpleNamespace(sparkContext=context))
+
+
 def test_text_index(spark):
     docs = spark.createDataFrame([(1, "Foo-bar, baz"), (2, "foobar  qux\n"), (3, None), (4, "!!! ...")], "id bigint, t string")
     index = textindex.TextIndex.build(docs, "id", "t")

@@ -12,13 +12,15 @@ from tidelog.model import Node
 from tidelog.operators.facade import CommandLog, MemoryLog, Partition
 from tidelog.operators.state import state
 from tidelog.plans.batch import execute, for_each_result
-from tidelog.sources.storage import Store, metadata, prewarm
+from tidelog.sources.storage import Store, latest, metadata, prewarm
 from tidelog.sources.tables import scratch
 
 
 @dataclass(frozen=True)
 class LogOptions:
-    """How a partition's log is kept: in files, or in memory only; ``flush_micros`` under 1,000 needs ``expert``."""
+    """How a partition's log is kept: in files, or in memory only; written at ``batch`` commands, or when it's read or
+    flushed. ``flush_micros`` is how often ``streaming.ingest.follow`` applies what has landed; under 1,000 needs
+    ``expert``."""
 
     durable: bool = True
     flush_micros: int = 1_000
@@ -40,7 +42,7 @@ class LogOptions:
 @dataclass
 class _Route:
     log: CommandLog
-    store: Store
+    store: Store | None
     options: LogOptions
     sleeping: bool = False
     warm: list[DataFrame] = field(default_factory=list)
@@ -60,8 +62,8 @@ class Engine:
         """Opens a partition, with what its folder has; once more gives the same one."""
         if name not in self._routes:
             at = self.path(name)
-            log = CommandLog(self.spark, f"{at}/log") if options.durable else MemoryLog(self.spark)
-            self._routes[name] = _Route(log, Store(self.spark, f"{at}/entities"), options)
+            log = CommandLog(self.spark, f"{at}/log", options.batch) if options.durable else MemoryLog(self.spark, options.batch)
+            self._routes[name] = _Route(log, Store(self.spark, f"{at}/entities") if options.durable else None, options)
         return Partition(self._routes[name].log)
 
     def get_partition(self, name: str) -> Partition | None:
@@ -88,13 +90,25 @@ class Engine:
         self._routes[name].warm = []
 
     def store(self, name: str) -> DataFrame:
-        """Moves what was written to the partition's store and gives its latest records."""
+        """Adds what was written since the last time to the partition's store and gives its latest records. A partition
+        in memory has no store: then its log's."""
         route = self._routes[name]
-        route.store.append(route.log.log().writes())
+        if route.store is None:
+            return latest(route.log.frame_of_writes())
+        new = route.log.frame_of_writes()
+        if route.store.files.exists(f"v{route.store.version:06d}"):
+            last = route.store.records().agg(F.max("seq")).first()[0]
+            new = new if last is None else new.where(F.col("seq") > last)
+        route.store.append(new)
         return route.store.latest()
 
-    def compact(self, name: str) -> int:
-        return self._routes[name].store.compact()
+    def compact(self, name: str) -> int | None:
+        store = self._routes[name].store
+        return None if store is None else store.compact()
+
+    def vacuum(self, name: str) -> list[str]:
+        store = self._routes[name].store
+        return [] if store is None else store.vacuum()
 
     def metrics(self) -> DataFrame:
         """name, partition_id and memory_entities of each partition."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions.scalars import key_id
-from tidelog.model import BLOB, INT, LOG_SCHEMA, STR, Command, Delete, Insert, InsertFast
+from tidelog.model import BLOB, DELETE, INT, LOG_SCHEMA, STR, Command, Delete, Insert, InsertFast
 from tidelog.operators.state import get
 from tidelog.sources.log import Log, commands_frame, from_commands
 from tidelog.sources.tables import scratch
@@ -25,10 +25,11 @@ V = TypeVar("V")
 
 
 class CommandLog:
-    """An append-only log of commands below a folder. One writer; seq goes on from what is there."""
+    """An append-only log of commands below a folder. One writer; seq goes on from what is there. With ``batch``, so many
+    commands are written at once without being asked."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or scratch(spark, "log")
+    def __init__(self, spark: SparkSession, path: str | None = None, batch: int | None = None):
+        self.spark, self.path, self.batch = spark, path or scratch(spark, "log"), batch
         self._pending: list[Command] = []
         self._next: int | None = None
 
@@ -40,6 +41,8 @@ class CommandLog:
 
     def send(self, *commands: Command) -> None:
         self._pending += commands
+        if self.batch and len(self._pending) >= self.batch:
+            self.flush()
 
     def try_send(self, command: Command, capacity: int = 262_144) -> bool:
         """False, and the command is dropped, if the buffer is full."""
@@ -74,12 +77,22 @@ class CommandLog:
         self.flush()
         return from_commands(self.frame())
 
+    def frame_of_writes(self) -> DataFrame:
+        """All commands that write values, as they are stored: attributes as maps, whatever their names."""
+        self.flush()
+        return self.frame().where(F.col("op") != DELETE)
+
+    def of_entity(self, entity_id: int, families: dict[str, str]) -> Log:
+        """One entity's commands with some attributes; the filter goes down to the files."""
+        self.flush()
+        return from_commands(self.frame().where(F.col("entity_id") == entity_id), families)
+
 
 class MemoryLog(CommandLog):
     """The same without files: frames held in memory, gone with the session."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self._pending, self._next = spark, [], 0
+    def __init__(self, spark: SparkSession, batch: int | None = None):
+        self.spark, self._pending, self._next, self.batch = spark, [], 0, batch
         self._frames: list[DataFrame] = []
 
     def flush(self) -> None:
@@ -107,8 +120,8 @@ class PartitionReader:
         self.log_ = log
 
     def _get(self, entity_id: int, attr: str, family: str) -> Any:
-        log = self.log_.log()
-        row = get(Log(log.df.where(F.col("entity_id") == entity_id), log.families), attr, family).select(F.col(f"`{attr}`")).first()
+        # One scan of the entity's rows: the asked family's map says whether the attribute is there, so no names are looked up.
+        row = get(self.log_.of_entity(entity_id, {attr: family}), attr, family).select(F.col(f"`{attr}`")).first()
         return None if row is None else bytes(row[0]) if family == BLOB else row[0]
 
     def get_int(self, entity_id: int, attr: str) -> int | None:
@@ -209,12 +222,10 @@ class TypedCache(Generic[V]):
 
     def get(self, key: object) -> V | None:
         name = json.dumps(key, sort_keys=True)
-        log = self.log.log()
-        if "value" not in log.families:
-            return None
         from tidelog.operators.state import live
 
-        row = live(log, ["key", "value"]).where((F.col("entity_id") == key_id(F.lit(name))) & (F.col("key") == name)).first()
+        entity_id = self.spark.range(1).select(key_id(F.lit(name))).first()[0]
+        row = live(self.log.of_entity(entity_id, {"key": STR, "value": STR}), ["key", "value"]).where(F.col("key") == name).first()
         return None if row is None else json.loads(row["value"])
 
 

@@ -14,7 +14,7 @@ from tidelog.operators import history
 from tidelog.operators.state import TAG, live
 from tidelog.sources.log import Log
 
-_AGG_TAG = {"sum": "Sum", "count": "Count", "min": "Min", "max": "Max", "avg": "Avg"}
+_AGG_TAG = {"sum": "IntSum", "count": "Count", "min": "IntMin", "max": "IntMax", "avg": "IntAvg"}
 
 
 def _shaped(df: DataFrame) -> DataFrame:
@@ -93,14 +93,18 @@ def _ranges(log: Log, nodes: list[tuple[int, Range]]) -> DataFrame:
         holders = live(log, [attr]).where(log.column(attr).isNotNull()).select("entity_id", F.lit(True).alias("holds"))
         found = history.ranges(log, asked, attr)
         rows = asked.join(holders, "entity_id", "left").join(found, "req", "left")
-        out.append(_shaped(rows.select(F.col("req").alias("node_idx"), F.when(F.col("holds"), F.lit("IntList")).otherwise(F.lit("None")).alias("tag"), "pos", F.col("v").alias("v_int"))))
+        out.append(_shaped(rows.select(F.col("req").alias("node_idx"), F.when(F.col("holds"), F.lit("IntRange")).otherwise(F.lit("None")).alias("tag"), "pos", F.col("v").alias("v_int"))))
     return reduce(DataFrame.unionByName, out)
 
 
 def _scans(log: Log, nodes: list[tuple[int, Scan]]) -> DataFrame:
+    spark = log.df.sparkSession
     out = []
     for attr in sorted({n.attr for _, n in nodes}):
         found = history.scan(log, attr)
+        if attr in log.families:  # a column without values is a result too: its tag, without a position
+            tag = spark.createDataFrame([(history.LIST_TAG[log.families[attr]],)], "of string")
+            found = tag.join(found, F.col("of") == F.col("tag"), "left").drop("tag").withColumnRenamed("of", "tag")
         ids = [i for i, n in nodes if n.attr == attr]
         out.append(_shaped(found.withColumn("node_idx", F.explode(F.array(*[F.lit(i) for i in ids])))))
     return reduce(DataFrame.unionByName, out)
@@ -108,7 +112,7 @@ def _scans(log: Log, nodes: list[tuple[int, Scan]]) -> DataFrame:
 
 def execute(log: Log, nodes: Sequence[Node]) -> DataFrame:
     """All results as rows (node_idx, tag, pos, v_int, v_dbl, v_str, v_blob): a row per element of a list result, one
-    row for any other, tag None for a missing one. A scan of an empty column has no row."""
+    row for any other, tag None for a missing one. A list without elements is one row without a position."""
     makers: dict[type, Callable] = {Get: _gets, Link: _links, Aggregate: _aggregates, Range: _ranges, Scan: _scans}
     parts = []
     for kind, make in makers.items():

@@ -63,6 +63,9 @@ class Files:
     def append(self, name: str, data: bytes) -> None:
         self.write(name, (self.read(name) if self.exists(name) else b"") + data)
 
+    def delete(self, name: str) -> None:
+        self._fs.delete(self.at(name), True)
+
     def size(self, name: str) -> int:
         return self._fs.getFileStatus(self.at(name)).getLen()
 
@@ -123,6 +126,13 @@ class Store:
         self.files.write("CURRENT", str(new).encode())
         return new
 
+    def vacuum(self) -> list[str]:
+        """Deletes versions before the current one, when no reader uses them any more; returns their names."""
+        gone = [n for n in self.files.names() if n.startswith("v") and n < f"v{self.version:06d}"]
+        for name in gone:
+            self.files.delete(name)
+        return gone
+
     def promote(self, ids: DataFrame) -> DataFrame:
         """Some entities' latest records, held in memory; answers don't change."""
         return prewarm(self.latest(), ids)

@@ -43,12 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and written tables, as a URI.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in tests on one machine,
-    a local folder is made.
+    It is what ``spark.checkpoint.dir`` names. Where that is unset a local folder is made on one machine, as in tests; on
+    a cluster that is an error.
     """
     context = spark.sparkContext
     at = context.getConf().get(SHARED) or context.getCheckpointDir()
     if not at:
+        if not (context.master or "").startswith("local"):
+            raise ValueError(f"{SHARED} must name a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidelog-"))
         at = context.getCheckpointDir()
     return at.rstrip("/")
