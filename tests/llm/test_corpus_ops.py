@@ -301,16 +301,18 @@ def test_mix_of_a_hot_source(spark):
     assert sorted(map(tuple, mixing.mix(docs).collect()), key=repr) == naive_mix(rows, None, mixing.BLOCK, mixing.ROUND)
 
 
-def test_mix_edges(spark, awkward, empty, monkeypatch):
+def test_mix_edges(spark, awkward, empty):
     got = mixing.mix(awkward, block=2).collect()
     assert collections.Counter(r.doc_id for r in got if r.epoch == 0) == collections.Counter(k for k, _ in awkward_rows())
     assert {r.source for r in got} == {r.source for r in awkward.collect()}
     again = mixing.repeat(awkward, block=2)
     assert again.columns == awkward.columns and again.distinct().count() == awkward.distinct().count()
     assert mixing.mix(empty).count() == 0 and mixing.repeat(empty).count() == 0
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
-    pooled = mixing.mix(awkward, block=2).collect()
-    assert mixing.OTHERS in {r.source for r in pooled} and {r.doc_id for r in pooled} == {k for k, _ in awkward_rows()}
+    # One key, null, on most rows of a source that is null itself.
+    hot = spark.range(400).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 4 == 0, "a").alias("source"))
+    got = mixing.mix(hot, {None: 3, "a": 1}, block=8).where("epoch = 0").collect()
+    assert len(got) == 400 and collections.Counter((r.doc_id, r.source) for r in got) == collections.Counter(tuple(r) for r in hot.collect())
+    assert len({(r.source, r.block, r.place) for r in got}) == 400
 
 
 def test_mix_of_more_than_10_000_sources(spark, monkeypatch):

@@ -31,9 +31,6 @@ from tidelog.sources.tables import written
 #: default is its part of the documents to this power, so that small sources gain.
 BLOCK, ROUND, FLATTEN = 16, None, 0.8
 MAX_ROUND = 1_000_000
-#: Unless this is None, sources beyond so many, the smallest, are mixed as one that has the sum of their weights.
-MAX_SOURCES: int | None = None
-OTHERS = "(others)"
 #: Sources up to which ``repeat`` broadcasts their turns; beyond, texts are shuffled.
 MAX_BROADCAST = 100_000
 
@@ -101,44 +98,32 @@ def _order(quota: Sequence[int], blocks: Sequence[int]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _sources(docs: DataFrame, source: str, weights: Mapping | None) -> tuple[DataFrame, DataFrame]:
-    """(own, names): ``id`` in order of names, ``own``, ``n`` documents and ``w`` (null: by n) of what is mixed; ``s``, the
-    documents' source, with the ``id`` and ``own`` that it's mixed as. Sources without a positive weight aren't there."""
+def _sources(docs: DataFrame, source: str, weights: Mapping | None) -> DataFrame:
+    """``id`` in order of names, the source ``s``, its ``n`` documents and ``w`` (null: by n) of what is mixed. Sources
+    without a positive weight aren't there."""
     found = docs.groupBy(F.col(source).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.lit(None).cast("double"))
     if weights is not None:
         given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items() if w > 0], "g string, given double")
         found = found.join(given, F.col("s").eqNullSafe(F.col("g"))).select("s", "n", F.col("given").alias("w"))
-    found = found.withColumn("own", F.col("s"))
-    if MAX_SOURCES is not None:
-        found = written(found, "mix-sources")
-        top = found.orderBy(F.desc("n"), F.asc_nulls_first("s")).limit(MAX_SOURCES).select(F.col("s").alias("t"), F.lit(True).alias("large"))
-        found = found.join(top, F.col("s").eqNullSafe(F.col("t")), "left").select("s", "n", F.coalesce("w", F.pow("n", F.lit(FLATTEN))).alias("w"), F.when(F.col("large"), F.col("s")).otherwise(OTHERS).alias("own"))
-        own = found.groupBy("own").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
-    else:
-        own = found.select("own", "n", "w")
-    own = written(own.orderBy(F.asc_nulls_first("own")).withColumn("id", F.monotonically_increasing_id()), "mix-sources")
-    if MAX_SOURCES is None:
-        return own, own.select(F.col("own").alias("s"), "id", "own")
-    ids = own.select(F.col("own").alias("o"), "id")
-    return own, written(found.join(ids, F.col("own").eqNullSafe(F.col("o"))).select("s", "id", "own"), "mix-sources")
+    return written(found.orderBy(F.asc_nulls_first("s")).withColumn("id", F.monotonically_increasing_id()), "mix-sources")
 
 
 def _plan(docs: DataFrame, source: str, weights: Mapping | None, block: int, slots: int | None) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-    """(names, ids, blocks, order): ``_sources``' names; of each source its id and blocks; the source, by its place in
+    """(names, ids, blocks, order): ``s`` and ``id``; of each source its id and blocks; the source, by its place in
     ids, of each slot. The driver holds some 24 bytes a source beside the heap, and 4 to 40 a slot: no names."""
-    own, names = _sources(docs, source, weights)
-    held = own.select("id", "n", "w").orderBy("id").toArrow()
+    names = _sources(docs, source, weights)
+    held = names.select("id", "n", "w").orderBy("id").toArrow()
     n = held.column("n").to_pylist()
     given = {k: float(n[k]) ** FLATTEN if w is None else w for k, w in enumerate(held.column("w").to_pylist())}
     blocks = [-(-x // block) for x in n]
     quota = quotas(given, slots)
-    return names, held.column("id").to_numpy(), np.array(blocks, np.int64), _order(list(quota.values()), blocks)
+    return names.select("s", "id"), held.column("id").to_numpy(), np.array(blocks, np.int64), _order(list(quota.values()), blocks)
 
 
 def _ranked(docs: DataFrame, names: DataFrame, source: str, key: str) -> DataFrame:
-    """Key ``k``, ``id`` and ``own`` of each document's source, and its ``rank`` in it."""
+    """Key ``k``, ``s`` and ``id`` of each document's source, and its ``rank`` in it."""
     rows = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("__s"))
-    named = rows.join(names, F.col("__s").eqNullSafe(F.col("s"))).select("k", "id", "own")
+    named = rows.join(names, F.col("__s").eqNullSafe(F.col("s"))).select("k", "s", "id")
     return with_running(written(named, "mix"), "k", ["id"], name="rank")
 
 
@@ -150,8 +135,9 @@ def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source",
     blocks once; until then a source that has run out starts over (``epoch``), so nothing is lost and shares hold to
     the end. Null is a source like any other. Documents of one key are neighbours in an arbitrary order; null keys
     are last. An empty table gives an empty mix. Only keys and sources are shuffled. Every source has its own
-    quota, however many there are (see MAX_SOURCES). Rows: about n times the largest
-    n ** (1 - FLATTEN) over the mean.
+    quota, however many there are, in the ratio of the weights themselves; only with ``slots`` is a weight below one slot
+    of MAX_ROUND given one slot. Rows: about n times the largest n ** (1 - FLATTEN) over the mean; with given weights a
+    large source of a tiny weight makes all others come again until it is through.
     """
     names, ids, blocks, order = _plan(docs, source, weights, block, slots)
     by = np.argsort(order, kind="stable")
@@ -163,7 +149,7 @@ def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source",
     plan = written(docs.sparkSession.createDataFrame(turn, "i bigint, b bigint, epoch bigint, slot bigint"), "mix-plan")
     placed = _ranked(docs, names, source, key).withColumn("block", F.floor(F.col("rank") / block).cast("bigint"))
     turns = placed.join(plan, (F.col("id") == F.col("i")) & (F.col("block") == F.col("b")))
-    return turns.select(F.col("k").alias(key), F.col("own").alias("source"), "block", "epoch", "slot", (F.col("rank") % block).cast("int").alias("place"))
+    return turns.select(F.col("k").alias(key), F.col("s").alias("source"), "block", "epoch", "slot", (F.col("rank") % block).cast("int").alias("place"))
 
 
 def repeat(docs: DataFrame, weights: Mapping | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int | None = ROUND) -> DataFrame:
