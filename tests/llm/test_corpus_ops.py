@@ -51,6 +51,49 @@ def test_substring_random(spark, window, anchor, letters):
     assert found_removal(df, window=window, anchor=anchor) == naive_removal(docs, window)
 
 
+def rebuilt(df, window=35, **options):
+    """Documents put together again from their factors and the words that no factor covers."""
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode()) for r in df.select("text").collect()]
+    got = substring.factors(df, ["doc_id", "text"], window=window, **options).collect()
+    words = {(r.place.k1, r.place.k2): re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode()) for r in got}
+    whole = []
+    for r in got:
+        own, out, at = words[r.place.k1, r.place.k2], [], 0
+        for f in r.factors:
+            assert f.words >= window and f.first + f.words <= r.n_words and at - f.first < window
+            out += own[at : f.first]  # literals
+            there = words[f.ref1, f.ref2][f.ref_first : f.ref_first + f.words]
+            out += there[max(0, at - f.first) :]
+            at = f.first + f.words
+        out += own[at:]
+        whole.append(out)
+        assert len(own) == r.n_words
+        # Greedy: where one factor follows another within a window's words, its reference doesn't go on.
+        for f, g in zip(r.factors, r.factors[1:]):
+            assert (g.ref1, g.ref2, g.ref_first - f.ref_first) != (f.ref1, f.ref2, g.first - f.first) or g.first > f.first + f.words - window + 1
+        for f in r.factors:  # a reference is another place, but for rows that are copies of each other
+            if (f.ref1, f.ref2, f.ref_first) == (r.place.k1, r.place.k2, f.first):
+                assert sum(x.place == r.place for x in got) > 1
+    assert sorted(whole) == sorted(split)
+    return got
+
+
+def test_factors_rebuild_documents(spark, awkward, documents):
+    for df in (awkward, documents):
+        got = rebuilt(df)
+        assert any(f.words > 35 for r in got for f in r.factors)
+    rng = random.Random(12)
+    docs = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(60)))) for i in range(30)] + [(7, "a " * 50)] * 2
+    rebuilt(spark.createDataFrame(docs, "doc_id bigint, text string"), window=5, anchor=2)
+
+
+def test_a_copied_text_is_one_factor(spark):
+    text = " ".join(f"w{i}" for i in range(500))
+    df = spark.createDataFrame([(1, text), (2, "before it " + text + " after it"), (3, "x " * 3)], "doc_id bigint, text string")
+    got = {r.doc_id: [(f.first, f.words, f.ref_first) for f in r.factors] for r in substring.factors(df).collect()}
+    assert got == {1: [(0, 500, 2)], 2: [(2, 500, 0)], 3: []}
+
+
 def test_substring_edges(spark, awkward, empty, documents):
     for df in (awkward, documents):
         assert found_removal(df) == naive_removal(pairs(df), 35)

@@ -1,21 +1,25 @@
-"""Substring dedup by relative Lempel-Ziv factors against every block of the corpus.
+"""Substring dedup by relative Lempel-Ziv parsing against every block of the corpus.
 
 A text is cut into reference blocks at anchors: of the 8-word runs in a window of 35 words the one with the smallest
 hash, the first of equals, is its anchor, and the windows with one anchor make a block. So equal windows have equal
 anchors, wherever they stand, and blocks line up without being compared. All blocks are indexed by anchor and by a hash
-of their windows:
+of their windows, with the place of a block that has the same:
 
-* a block that occurs again is a factor as a whole; greedily following factors join into one span;
+* a block that occurs again is matched as a whole;
 * a block whose anchor occurs again, but not the block, lies at a factor's boundary: there single windows are
-  compared, once for each different block of that anchor;
-* any other block holds nothing that repeats.
+  compared, once for each different block of that anchor, and matched with the place of an equal one.
 
-Counting is pre-aggregated, occurrences meet their counts in skew-split joins, and nothing is paired.
+Each document is then parsed from left to right: from the first match on a factor is extended, block by block and window
+by window, as long as the next match lies next in the same reference document; then the next factor begins. A factor is
+(first word, words, reference document, first word there) and has a window's words at least; words that no factor covers
+stand for themselves. Factors are the duplicate spans. Counting is pre-aggregated, occurrences meet their counts in
+skew-split joins, and nothing is paired.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
@@ -36,12 +40,12 @@ _NO_KEY = -(1 << 63)
 def blocks(h: np.ndarray, doc: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> dict[str, np.ndarray]:
     """The blocks of documents given as word hashes ``h`` with document numbers ``doc``.
 
-    ``anchor`` and ``content`` are hashes; ``doc``; ``order`` numbers a document's blocks; windows
+    ``anchor`` and ``content`` are hashes; ``doc``; windows
     ``first`` to ``first + count - 1`` (numbers of their first words) belong to it. ``window``: all windows' hashes.
     """
     none = np.zeros(0, np.int64)
     if len(h) < window:
-        return {"anchor": none.view(np.uint64), "content": none.view(np.uint64), "doc": none, "order": none, "first": none, "count": none, "window": none.view(np.uint64)}
+        return {"anchor": none.view(np.uint64), "content": none.view(np.uint64), "doc": none, "first": none, "count": none, "window": none.view(np.uint64)}
     runs, windows = tx.gram_hashes(h, anchor), tx.gram_hashes(h, window)
     ranked = (runs & ~_PLACE) | np.arange(len(runs), dtype=np.uint64)
     place = (tx.sliding_min(ranked, window - anchor + 1) & _PLACE).astype(np.int64)
@@ -55,7 +59,7 @@ def blocks(h: np.ndarray, doc: np.ndarray, window: int = WINDOW, anchor: int = A
     np.cumsum(windows[inside] * up[: len(inside)], out=sums[1:])
     content = tx.mix((sums[tail] - sums[head]) * down[head] + (tail - head).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (at[head] - first).astype(np.uint64))
     owner = doc[first]
-    return {"anchor": runs[at[head]], "content": content, "doc": owner, "order": np.arange(len(head)) - np.searchsorted(owner, owner), "first": first, "count": tail - head, "window": windows}
+    return {"anchor": runs[at[head]], "content": content, "doc": owner, "first": first, "count": tail - head, "window": windows}
 
 
 def _cut(a: np.ndarray, off: np.ndarray, window: int, anchor: int):
@@ -70,98 +74,137 @@ def _keyed(docs: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
     return rows
 
 
-def _lists(batch: pa.RecordBatch, column: int) -> list:
-    return [x or () for x in batch.column(column).to_pylist()]
-
-
-def duplicate_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """(texts, answers): keyed texts, and by key the blocks (``whole``) and windows (``single``) that repeat."""
-    texts = _keyed(docs, key, text, [key])
-    answers = _answers(texts, window, anchor)
-    return texts, answers
+_FOUND = "array<struct<at:int,whole:boolean,r1:bigint,r2:bigint,r_at:int>>"
 
 
 def _answers(texts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """By key (k1, k2) what repeats: the window ``at`` which (by its first word in the document) a block begins that is
+    matched as a ``whole``, or a single window, and the place (r1, r2, r_at) of another one that is equal: the first of
+    all, for the first itself the last."""
+    place = F.struct("k1", "k2", "at")
+
     def index(batches):
         for part, a, off in tx.steps(batches):
-            b = _cut(a, off, window, anchor)[3]
+            _, _, doc, b = _cut(a, off, window, anchor)
             rows = pa.array(b["doc"])
-            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(b["anchor"])), pa.array(tx.signed(b["content"])), part.column(0).take(rows), part.column(1).take(rows), pa.array(b["order"].astype(np.int32))], names=["anchor", "content", "k1", "k2", "ord"])
+            at = b["first"] - np.searchsorted(doc, np.arange(part.num_rows))[b["doc"]]
+            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(b["anchor"])), pa.array(tx.signed(b["content"])), part.column(0).take(rows), part.column(1).take(rows), pa.array(at.astype(np.int32))], names=["anchor", "content", "k1", "k2", "at"])
 
-    indexed = texts.select("k1", "k2", "text").mapInArrow(index, "anchor bigint, content bigint, k1 bigint, k2 bigint, ord int")
+    indexed = texts.select("k1", "k2", "text").mapInArrow(index, "anchor bigint, content bigint, k1 bigint, k2 bigint, at int")
     again = indexed.groupBy("anchor").count().where("count > 1").select("anchor")
     shared = written(indexed.join(again, "anchor", "left_semi"), "blocks")
-    kinds = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "ord")).alias("first"))
+    kinds = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
     mixed = kinds.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("mixed"))
     known = kinds.join(mixed, "anchor").where("n > 1 or mixed")
-    told = shared.join(known, ["anchor", "content"]).select("k1", "k2", "ord", (F.col("n") > 1).alias("whole"), (F.col("mixed") & (F.struct("k1", "k2", "ord") == F.col("first"))).alias("ask"))
-    told = written(told.where("whole or ask"), "factors")
+    is_first = place == F.col("first")
+    told = shared.join(known, ["anchor", "content"]).select("k1", "k2", "at", (F.col("n") > 1).alias("whole"), (F.col("mixed") & is_first).alias("ask"), F.when(is_first, F.col("last")).otherwise(F.col("first")).alias("ref"))
+    told = written(told.where("whole or ask"), "matches")
 
     def compare(batches):
         for part, a, off in tx.steps(batches):
-            b = _cut(a, off, window, anchor)[3]
-            doc0 = np.searchsorted(b["doc"], np.arange(part.num_rows))
-            asked = [np.asarray(x, np.int64) for x in _lists(part, 4)]
-            chosen = np.concatenate([np.zeros(0, np.int64), *[doc0[i] + np.unique(x) for i, x in enumerate(asked) if len(x)]])
-            needed = np.zeros(len(b["doc"]), bool)
-            needs = [np.asarray(x, np.int64) for x in _lists(part, 5)]
-            for i, x in enumerate(needs):
-                if len(x):
-                    needed[doc0[i] + x] = True
-            count = b["count"][chosen]
-            owner = np.repeat(b["doc"][chosen], count)
-            first = np.repeat(b["first"][chosen], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            zero = b["first"][np.minimum(doc0, max(len(b["first"]) - 1, 0))] if len(b["first"]) else np.zeros(part.num_rows, np.int64)
-            rows = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(b["window"][first])), part.column(0).take(rows), part.column(1).take(rows), pa.array((first - zero[owner]).astype(np.int32)), pa.array(np.repeat(needed[chosen], count))], names=["window", "k1", "k2", "at", "own"])
-
-    asks = told.where("ask").groupBy("k1", "k2").agg(F.collect_list("ord").alias("asked"), F.collect_list(F.when(~F.col("whole"), F.col("ord"))).alias("needed"))
-    single = texts.join(asks, ["k1", "k2"]).select("k1", "k2", "row", "text", "asked", "needed").mapInArrow(compare, "window bigint, k1 bigint, k2 bigint, at int, own boolean")
-    twice = single.groupBy("window").count().where("count > 1").select("window")
-    hits = single.where("own").join(twice, "window", "left_semi").select("k1", "k2", F.lit(None).cast("int").alias("ord"), "at")
-    # A document's blocks and windows are no more than its words; equal rows answer alike, so sets will do.
-    both = told.where("whole").select("k1", "k2", "ord", F.lit(None).cast("int").alias("at")).unionByName(hits)
-    return both.groupBy("k1", "k2").agg(F.collect_set("ord").alias("whole"), F.collect_set("at").alias("single"))
-
-
-def removed_words(a: np.ndarray, off: np.ndarray, whole: list, single: list, window: int = WINDOW, anchor: int = ANCHOR):
-    """(starts, ends, documents, whether to remove) of the words of one step."""
+            _, _, doc, b = _cut(a, off, window, anchor)
+            zero = np.searchsorted(doc, np.arange(part.num_rows))
+            asked = part.column(4)
+            owner = np.repeat(np.arange(part.num_rows), np.diff(asked.offsets.to_numpy()))
+            first, needed = (x.to_numpy(zero_copy_only=False) for x in asked.flatten().flatten())
+            # Rows that are equal ask the same twice.
+            block, once = np.unique(np.searchsorted(b["first"], zero[owner] + first), return_index=True)
+            count = b["count"][block]
+            which = np.repeat(b["first"][block], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            of = np.repeat(owner[once], count)
+            rows = pa.array(of)
+            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(b["window"][which])), part.column(0).take(rows), part.column(1).take(rows), pa.array((which - zero[of]).astype(np.int32)), pa.array(np.repeat(needed[once], count))], names=["window", "k1", "k2", "at", "own"])
+
+    asks = told.where("ask").groupBy("k1", "k2").agg(F.collect_list(F.struct("at", (~F.col("whole")).alias("needed"))).alias("asked"))
+    single = texts.join(asks, ["k1", "k2"]).select("k1", "k2", "row", "text", "asked").mapInArrow(compare, "window bigint, k1 bigint, k2 bigint, at int, own boolean")
+    twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last")).where("n > 1")
+    hits = single.where("own").join(twice, "window").select("k1", "k2", "at", F.lit(False).alias("whole"), F.when(is_first, F.col("last")).otherwise(F.col("first")).alias("ref"))
+    # A document's blocks and windows are no more than its words; equal rows answer alike, so a set will do.
+    both = told.where("whole").select("k1", "k2", "at", "whole", "ref").unionByName(hits)
+    return both.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "whole", F.col("ref.k1").alias("r1"), F.col("ref.k2").alias("r2"), F.col("ref.at").alias("r_at"))).alias("found"))
+
+
+@dataclass
+class Parse:
+    """The words of one step of documents (``start``, ``end``, ``doc``) and their factors, in order: ``of`` (document),
+    ``first`` (number of the first word in the step), ``words``, and the place in the reference: ``r1``, ``r2``, ``r_at``."""
+
+    start: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+    of: np.ndarray
+    first: np.ndarray
+    words: np.ndarray
+    r1: np.ndarray
+    r2: np.ndarray
+    r_at: np.ndarray
+
+    def gone(self) -> np.ndarray:
+        """Which words a factor covers."""
+        return tx.cover(self.first, self.words, len(self.doc))
+
+
+def parse(a: np.ndarray, off: np.ndarray, found: pa.ListArray, window: int = WINDOW, anchor: int = ANCHOR) -> Parse:
+    """Greedy factors of documents from what was found of each."""
     start, end, doc, b = _cut(a, off, window, anchor)
     n = len(off) - 1
-    doc0 = np.searchsorted(b["doc"], np.arange(n))
     zero = np.searchsorted(doc, np.arange(n))
-    firsts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(n):
-        if len(whole[i]):
-            at = doc0[i] + np.asarray(whole[i], np.int64)
-            firsts.append(b["first"][at])
-            lengths.append(b["count"][at] + window - 1)
-        if len(single[i]):
-            firsts.append(zero[i] + np.asarray(single[i], np.int64))
-            lengths.append(np.full(len(single[i]), window, np.int64))
-    return start, end, doc, tx.cover(np.concatenate(firsts), np.concatenate(lengths), len(doc))
+    offsets = found.offsets.to_numpy()
+    sizes = np.where(found.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets)) if found.null_count else np.diff(offsets)
+    at, whole, r1, r2, r_at = (x.to_numpy(zero_copy_only=False) for x in found.flatten().flatten())
+    of = np.repeat(np.arange(n), sizes)
+    first = zero[of] + at
+    count = np.ones(len(first), np.int64)
+    if whole.any():
+        count[whole] = b["count"][np.searchsorted(b["first"], first[whole])]
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    match, index = np.unique(np.repeat(first, count) + inside, return_index=True)
+    of, r1, r2 = (np.repeat(x, count)[index] for x in (of, r1, r2))
+    r_at = (np.repeat(r_at.astype(np.int64), count) + inside)[index]
+    # The next match carries a factor on if it's the next window here and there.
+    on = (np.diff(match) == 1) & (np.diff(of) == 0) & (np.diff(r_at) == 1) & (r1[1:] == r1[:-1]) & (r2[1:] == r2[:-1])
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(match)), bool), ~on)))
+    words = np.diff(np.append(head, len(match))) + window - 1
+    return Parse(start, end, doc, of[head], match[head], words, r1[head], r2[head], r_at[head])
 
 
 def _applied(docs: DataFrame, keep: list[str], key: str, text: str, window: int, anchor: int, ddl: str, make) -> DataFrame:
     texts = _keyed(docs, key, text, keep)
     answers = _answers(texts, window, anchor)
-    joined = texts.join(answers, ["k1", "k2"], "left").select("k1", "k2", "row", "text", "whole", "single")
+    joined = texts.join(answers, ["k1", "k2"], "left").select("k1", "k2", "row", "text", F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
     fields = T.StructType(texts.schema["row"].dataType.fields + T.StructType.fromDDL(ddl).fields)
 
     def run(batches):
         for part, a, off in tx.steps(batches):
-            start, end, doc, gone = removed_words(a, off, _lists(part, 4), _lists(part, 5), window, anchor)
-            bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([*part.column(2).flatten(), *make(part.column(3), a, off, start, end, bounds, gone)], names=fields.names)
+            parsed = parse(a, off, part.column(4), window, anchor)
+            bounds = np.searchsorted(parsed.doc, np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([*part.column(2).flatten(), *make(part, a, off, parsed, bounds)], names=fields.names)
 
     return joined.mapInArrow(run, fields)
 
 
+def factors(docs: DataFrame, keep: list[str] | tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The kept columns with ``n_words``, the ``place`` (k1, k2) by which references name the row, and its ``factors``:
+    (first, words, ref1, ref2, ref_first). Words of a factor equal those of the row with that place from ref_first on;
+    a factor may begin in the last window's words of the one before. Rows with one key and text share a place."""
+
+    def make(part, a, off, parsed, bounds):
+        zero = bounds[:-1]
+        cols = [parsed.first - zero[parsed.of], parsed.words, parsed.r1, parsed.r2, parsed.r_at]
+        names = ["first", "words", "ref1", "ref2", "ref_first"]
+        flat = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+        offsets = pa.array(np.searchsorted(parsed.of, np.arange(len(off))).astype(np.int32))
+        place = pa.StructArray.from_arrays([part.column(0), part.column(1)], ["k1", "k2"])
+        return pa.array(np.diff(bounds)), place, pa.ListArray.from_arrays(offsets, flat)
+
+    return _applied(docs, list(keep), key, text, window, anchor, "n_words bigint, place struct<k1:bigint,k2:bigint>, factors array<struct<first:bigint,words:bigint,ref1:bigint,ref2:bigint,ref_first:bigint>>", make)
+
+
 def spans(docs: DataFrame, keep: list[str] | tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """The kept columns with ``spans``, an array of (first word, words) of the duplicate spans, and ``n_words``."""
 
-    def make(texts, a, off, start, end, bounds, gone):
-        out = []
+    def make(part, a, off, parsed, bounds):
+        gone, out = parsed.gone(), []
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             edge = np.diff(np.concatenate(([0], gone[lo:hi].astype(np.int8), [0])))
             out.append([{"first": int(s), "words": int(e - s)} for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])
@@ -176,7 +219,8 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     A null text has no words. Rows that repeat whole are copies of each other, so their windows go.
     """
 
-    def make(texts, a, off, start, end, bounds, gone):
+    def make(part, a, off, parsed, bounds):
+        gone = parsed.gone()
         sums = np.concatenate(([0], np.cumsum(gone)))
         lost = sums[bounds[1:]] - sums[bounds[:-1]]
         data, out = a.tobytes(), []
@@ -200,7 +244,8 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     while was_null in keep:
         was_null += "_"
 
-    def make(texts, a, off, start, end, bounds, gone):
+    def make(part, a, off, parsed, bounds):
+        gone, end = parsed.gone(), parsed.end
         sums = np.concatenate(([0], np.cumsum(gone)))
         lost = sums[bounds[1:]] - sums[bounds[:-1]]
         # From the end of the word before (or the text's start) to the word's end.
@@ -210,7 +255,7 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             prior[heads] = off[:-1][np.diff(bounds) > 0]
         at = np.flatnonzero(gone)
         drop = tx.cover(prior[at], end[at] - prior[at], len(a))
-        plain, out = texts.to_pylist(), []
+        plain, out = part.column(3).to_pylist(), []
         for i in range(len(off) - 1):
             piece = slice(off[i], off[i + 1])
             out.append(a[piece][~drop[piece]].tobytes().decode() if lost[i] else plain[i])
