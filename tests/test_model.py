@@ -10,7 +10,7 @@ from tidelog.engine import Engine, LogOptions
 from tidelog.model import BLOB, INT, STR, Aggregate, BatchInsert, Delete, Get, Insert, InsertFast, Link, Range, Scan, check_u32, merged_families
 from tidelog.operators import archive, facade, history, state, textindex
 from tidelog.plans import batch
-from tidelog.plans.positions import bucket_of, with_running
+from tidelog.plans.positions import Cuts, bucket_of, quantile_cuts, unit, with_running
 from tidelog.sources import codec, storage
 from tidelog.sources.log import commands_frame, from_commands
 from tidelog.streaming.ingest import StateTable, follow, ingest
@@ -345,5 +345,25 @@ def test_positions(spark, per_bucket):
 
 def test_bucket_of(spark):
     bounds = [3, 7, 7, 20]
-    got = spark.range(30).select("id", bucket_of(F.col("id"), bounds).alias("b")).collect()
+    got = spark.range(30).select("id", bucket_of(F.col("id"), Cuts(bounds)).alias("b")).collect()
     assert all(r.b == sum(b < r.id for b in bounds) for r in got)
+    cuts = Cuts([3, 6, 7, 20], {2: 5, 4: 2, 5: 3})
+    ids = spark.range(300).select(F.when(F.col("id") % 9 > 0, F.col("id") % 30).alias("k"), unit(F.xxhash64("id")).alias("u"))
+    rows = sorted(ids.select("k", "u", bucket_of(F.col("k"), cuts, F.col("u")).alias("b")).collect(), key=lambda r: (r.k is None, r.k or 0, r.u))
+    assert (cuts.of_keys, cuts.count) == (10, 13) and {r.b for r in rows} == set(range(13))
+    wide = [(sum(b < r.k for b in cuts.bounds) if r.k is not None else 5, r) for r in rows]
+    for base, n, first in ((0, 1, 0), (1, 1, 1), (2, 5, 2), (3, 1, 7), (4, 2, 8), (5, 3, 10)):
+        assert all(r.b == first + min(n - 1, int(r.u * n)) for b, r in wide if b == base)
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_positions_of_a_hot_key(spark, hot):
+    """One key, or null, on nine rows in ten: its cells are bounded, and positions are right."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(hot)).cast("bigint").alias("k"), unit(F.xxhash64("id")).alias("u"), "id")
+    cuts = quantile_cuts(df, "k", 500)
+    sizes = [r["count"] for r in df.groupBy(bucket_of(F.col("k"), cuts, F.col("u")).alias("b")).count().collect()]
+    assert max(sizes) < 1_500 and sum(sizes) == 20_000
+    got = with_running(df, "k", second=F.col("u"), rows_per_bucket=500).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(20_000))
+    order = [(r.k is None, r.k or 0, r.u) for r in got]
+    assert order == sorted(order)
