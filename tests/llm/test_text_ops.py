@@ -225,9 +225,69 @@ def test_cuts_survive_a_shift():
     assert fingerprint.cuts(b"") == [] and fingerprint.containment({}, {}) == 1.0 and fingerprint.containment({}, a) == 0.0
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_one_key_on_most_rows(spark, hot):
+    """Nine rows in ten under one key or none, in fingerprints and token files: every row has its own next one and place."""
+    rows = [(i if i % 10 == 0 else hot, f"text number {i} " * (i % 5)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = fingerprint.compare(df, rows_per_task=50).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(k for k, _ in rows)
+    assert collections.Counter(r.n_chars for r in got) == collections.Counter(len(x) for _, x in rows)
+    files = tokenfile.read(spark, tokenfile.write(df, JSON, rows_per_task=50)).orderBy("start").collect()
+    ends = [r.start + r.n_tokens for r in files]
+    assert [r.start for r in files] == [0, *ends[:-1]] and [(r.key is None, r.key or 0) for r in files] == sorted((k is None, k or 0) for k, _ in rows)
+    placed = sharding.assign(df).collect()
+    by = collections.defaultdict(list)
+    for r in placed:
+        by[r.shard].append(r.slot)
+    assert len(placed) == 900 and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def naive_cuts(data):
+    """Chunk ends from the gear hash worked out byte by byte."""
+    gear = [int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "little") for b in range(256)]
+    ends, at = [], 0
+    for i in range(len(data)):
+        size = i + 1 - at
+        h = sum(gear[data[i - j]] << j for j in range(min(16, i + 1))) & 0xFFFFFFFF
+        mask = (0x7F if size <= 32 else 0x07) << 9
+        if len(data) - at > 16 and ((size >= 16 and h & mask == 0) or size == 128):
+            ends.append(i + 1)
+            at = i + 1
+    return ends if at == len(data) else [*ends, len(data)]
+
+
+def test_cuts_byte_by_byte(documents):
+    texts = [(x or "").encode() for _, x in pairs(documents)[:60] + awkward_rows()[:10]]
+    for data in [*texts, b"", b"a" * 500, bytes(range(256)) * 3]:
+        assert fingerprint.cuts(data) == naive_cuts(data), data[:50]
+
+
 # Sharding
 
 
+def naive_shard(key, shards, grown):
+    """Draws of ln(u) / weight, level by level."""
+    import math
+
+    def draw(name, weight):
+        bits = int(hashlib.md5(f"{key}|tidelog|{name}".encode()).hexdigest()[:12], 16)
+        return math.log((bits + 1) / ((1 << 48) + 2)) / weight
+
+    racks = [list(range(i, min(i + 5, shards))) for i in range(0, shards, 5)]
+    regions = [racks[i : i + 2] for i in range(0, len(racks), 2)] + ([[[shards]]] if grown else [])
+    r = max(range(len(regions)), key=lambda i: draw(f"r/{i}", sum(map(len, regions[i]))))
+    k = max(range(len(regions[r])), key=lambda i: draw(f"r/{r}/{i}", len(regions[r][i])))
+    return max(regions[r][k], key=lambda s: draw(f"s{s}", 1))
+
+
+def test_draws(spark, awkward, documents):
+    for df in (awkward, documents):
+        for r in sharding.assign(df).collect():
+            key = "null" if r.doc_id is None else r.doc_id
+            assert (r.shard, r.grown_shard) == (naive_shard(key, 40, False), naive_shard(key, 40, True))
+
+
 def test_sharding(spark, awkward, empty, documents):
     for df in (awkward, documents):
         got = sharding.assign(df).collect()

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.plans.positions import bucket_of, quantile_bounds
+from tidelog.plans.positions import bucket_of, quantile_cuts, unit
 
 #: Chunk sizes in bytes. The hash looks at 16 bytes, which fit into the smallest chunk.
 MIN_SIZE, NORMAL_SIZE, MAX_SIZE = 16, 32, 128
@@ -102,13 +102,16 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per_t
     The next document is the one before it in key order (after the smallest key: the largest); null keys come
     after all others, rows with one key go by a hash of their text. One row alone is its own next. A null text is
     empty. The edit replaces the last third of the code points by the first as many of the next document.
-    Texts are shuffled once, by ranges of the key; the first text of each range goes to the range before, too.
+    Texts are shuffled once, by ranges of the key, and of the hash where many rows have one key or none; the first text
+    of each range goes to the range before, too.
     """
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    bounds = quantile_bounds(rows, "id", rows_per_task)
-    parts = len(bounds) + 2
-    rows = rows.withColumn("part", F.when(F.col("id").isNull(), parts - 1).otherwise(F.lit(len(bounds)) - bucket_of(F.col("id"), bounds)))
+    ranges = quantile_cuts(rows, "id", rows_per_task)
+    parts = ranges.count
+    # Keys fall, nulls come last, and the hashes of either fall.
+    ascending = bucket_of(F.col("id"), ranges, unit(F.col("tie")))
+    rows = rows.withColumn("part", F.when(F.col("id").isNull(), F.lit(ranges.of_keys + parts - 1) - ascending).otherwise(F.lit(ranges.of_keys - 1) - ascending))
     # One row a part, at most MAX_BUCKETS + 1 in all, so it may be broadcast.
     firsts = rows.groupBy("part").agg(F.max(F.struct("id", "tie")).alias("first"))
     across = Window.orderBy("part")

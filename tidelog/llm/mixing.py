@@ -124,7 +124,9 @@ def _ranked(docs: DataFrame, names: DataFrame, source: str, key: str) -> DataFra
     """Key ``k``, ``s`` and ``id`` of each document's source, and its ``rank`` in it."""
     rows = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("__s"))
     named = rows.join(names, F.col("__s").eqNullSafe(F.col("s"))).select("k", "s", "id")
-    return with_running(written(named, "mix"), "k", ["id"], name="rank")
+    # The second order is written, so that it's the same whenever it's read.
+    kept = written(named.withColumn("u", F.rand(11)), "mix")
+    return with_running(kept, "k", ["id"], second=F.col("u"), name="rank").drop("u")
 
 
 def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, slots: int | None = ROUND) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.plans.positions import with_running
+from tidelog.sources.tables import written
 
 #: The registered query's tree: 40 shards, 5 in a rack and 2 racks in a region.
 SHARDS, PER_RACK, PER_REGION = 40, 5, 2
@@ -80,14 +81,16 @@ def assign(docs: DataFrame, tree: Tree = Tree.regular(SHARDS), key: str = "doc_i
     """key, ``size`` (UTF-8 bytes + 16), ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard``.
 
     Law ``key``: the key and the tree decide alone, so copies of a text go where their own keys lead, and rows
-    with one key stay together. ``slot`` numbers a shard's rows from 0 by (key, CRC, size), nulls last; rows
-    alike in all three take their slots in any order. A null text has size 16 and the CRC of no bytes.
-    Texts aren't moved: only these few numbers are shuffled.
+    with one key stay together. ``slot`` numbers a shard's rows from 0 by (key, CRC), nulls last; rows
+    alike in both take their slots in any order. A null text has size 16 and the CRC of no bytes.
+    Texts are read once and aren't moved: only these few numbers are written and shuffled.
     """
     rows = docs.select(
         F.col(key),
         F.coalesce(F.octet_length(F.col(text)).cast("bigint"), F.lit(0)).alias("__bytes"),
         F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"),
     ).select(key, (F.col("__bytes") + 16).alias("size"), "text_crc32", shard_of(F.col(key), tree).alias("shard"), shard_of(F.col(key), tree.grown()).alias("grown_shard"))
-    placed = with_running(rows, key, ["shard"], ["text_crc32", "size"], name="slot")
+    # CRC and a random part, written so that it's the same whenever it's read.
+    rows = written(rows.withColumn("__u", (F.col("text_crc32") + F.rand(7)) / float(1 << 32)), "sharding")
+    placed = with_running(rows, key, ["shard"], second=F.col("__u"), name="slot")
     return placed.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import text as tx
 from tidelog.llm.pretoken import split_sure, sure
-from tidelog.plans.positions import bucket_of, quantile_bounds, with_running
+from tidelog.plans.positions import bucket_of, quantile_cuts, unit, with_running
 from tidelog.sources.tables import scratch
 
 END_ID = 2
@@ -224,20 +224,20 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key:
 
     Ids are those of the library for the whole text; added tokens that stand in a text are found as it finds them.
     A null text is empty: only the end id. Null keys come last; rows with one key follow each other in an order
-    given by their ids. An empty table gives no file. Only ids are shuffled, not texts.
+    given by a hash of their text, by which they are split among tasks if they are many. An empty table gives no file. Only ids are shuffled, not texts.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
     with open(tokenizer_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())  # one tokenizer file, under 2 MB
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).cast("string").alias("text"))
 
     def encode(batches):
         pieces = _pieces(shared.value)
         end = np.array([end_id], pieces.type).tobytes()
         for part, _, _ in tx.steps(batches, "text", 2 << 20):
-            ids = [x + end for x in pieces.encode([x or "" for x in part.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+            ids = [x + end for x in pieces.encode([x or "" for x in part.column(2).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["key", "tie", "ids"])
 
     def store(batches):
         width = _pieces(shared.value).width
@@ -264,10 +264,10 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key:
         place, names, counts, totals = zip(*told) if told else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(totals, pa.int64())], names=["place", "name", "n_docs", "n_ids"])
 
-    bounds = quantile_bounds(rows, "key", rows_per_task)
-    encoded = rows.mapInArrow(encode, "key bigint, ids binary").withColumn("bucket", bucket_of(F.col("key"), bounds))
-    laid = encoded.select("bucket", "key", "ids").repartitionById(len(bounds) + 2, F.col("bucket")).sortWithinPartitions("bucket", F.col("key").asc_nulls_last(), "ids")
-    laid.mapInArrow(store, "place bigint, name string, n_docs bigint, n_ids bigint").write.parquet(f"{folder}/manifest")
+    cuts = quantile_cuts(rows, "key", rows_per_task)
+    encoded = rows.mapInArrow(encode, "key bigint, tie bigint, ids binary").withColumn("bucket", bucket_of(F.col("key"), cuts, unit(F.col("tie"))))
+    laid = encoded.select("bucket", "key", "tie", "ids").repartitionById(cuts.count, F.col("bucket")).sortWithinPartitions("bucket", F.col("key").asc_nulls_last(), "tie", "ids")
+    laid.select("bucket", "key", "ids").mapInArrow(store, "place bigint, name string, n_docs bigint, n_ids bigint").write.parquet(f"{folder}/manifest")
     return folder
 
 
