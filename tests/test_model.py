@@ -300,6 +300,21 @@ def test_the_shared_folder_must_be_named_on_a_cluster():
         tables.shared_dir(SimpleNamespace(sparkContext=context))
 
 
+def test_scratch_tables_are_deleted(spark, tmp_path, monkeypatch):
+    from tidelog.sources import tables
+
+    kept, gone = (tables.written(spark.range(3), what) for what in ("kept", "gone"))
+    tables.discard(gone)
+    assert kept.count() == 3 and not storage.Files(spark, gone._tidelog_path).exists()
+    monkeypatch.setattr(spark.sparkContext, "_tidelog_scratch", {kept._tidelog_path})
+    assert tables.clean(spark) == 1 and not storage.Files(spark, kept._tidelog_path).exists()
+    (tmp_path / "v").write_bytes(b"abc")
+    assert tables.file_to_send(str(tmp_path / "v")) == b"abc"
+    monkeypatch.setattr(tables, "MAX_FILE", 2)
+    with pytest.raises(ValueError):
+        tables.file_to_send(str(tmp_path / "v"))
+
+
 def test_text_index(spark):
     docs = spark.createDataFrame([(1, "Foo-bar, baz"), (2, "foobar  qux\n"), (3, None), (4, "!!! ...")], "id bigint, t string")
     index = textindex.TextIndex.build(docs, "id", "t")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.sources.storage import Files
 
 SHARED = "spark.checkpoint.dir"
+#: Bytes of a file that is broadcast.
+MAX_FILE = 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,12 +59,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, until ``clean``."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context._tidelog_scratch = {*getattr(context, "_tidelog_scratch", ()), path}
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table written below the shared folder: its lineage ends there, and it outlives executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidelog_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that ``written`` gave, once nothing reads it any more."""
+    _delete(df.sparkSession, df._tidelog_path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes all folders that this application made by ``scratch``, when no result over them is in use any more;
+    returns how many. What users named themselves stays."""
+    gone = list(getattr(spark.sparkContext, "_tidelog_scratch", ()))
+    for path in gone:
+        _delete(spark, path)
+    return len(gone)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    Files(spark, path).delete("")
+    context._tidelog_scratch = getattr(context, "_tidelog_scratch", set()) - {path}
+
+
+def file_to_send(path: str) -> bytes:
+    """A file for a broadcast, a vocabulary, at most MAX_FILE bytes long."""
+    if os.path.getsize(path) > MAX_FILE:
+        raise ValueError(f"{path} is longer than {MAX_FILE} bytes, too long to be sent to all executors")
+    with open(path, "rb") as f:
+        return f.read()
