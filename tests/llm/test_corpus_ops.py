@@ -109,6 +109,13 @@ def test_substring_edges(spark, awkward, empty, documents):
         assert all(b - a >= 35 for a, b in ends) and all(x[1] < y[0] for x, y in zip(ends, ends[1:])) and all(b <= r.n_words for _, b in ends)
 
 
+def test_substring_dedup_equals_its_sql(spark):
+    from oracle import assert_same, connection
+
+    for sf in (SF, "/root/testdata/sf0.01"):
+        assert_same(connection(sf), queries.QUERIES["op7_substring_dedup"](spark, sf), queries.ORACLES["op7_substring_dedup"])
+
+
 def test_a_hot_passage(spark):
     """One passage in all of many documents, with different surroundings."""
     rng = random.Random(3)

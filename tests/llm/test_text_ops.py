@@ -511,7 +511,9 @@ def test_steps_split_nothing():
 
     texts = ["abc", None, "", "é" * 10, "x" * 100]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-    seen = []
-    for part, a, off in tx.steps([batch.slice(0, 2), batch.slice(2), batch.slice(0, 0)], limit=8):
-        seen += [a[off[i] : off[i + 1]].tobytes().decode() for i in range(part.num_rows)]
-    assert seen == [x or "" for x in texts]
+    wide = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    for b in (batch, wide):
+        seen = []
+        for part, a, off in tx.steps([b.slice(0, 2), b.slice(2), b.slice(0, 0)], limit=8):
+            seen += [a[off[i] : off[i + 1]].tobytes().decode() for i in range(part.num_rows)]
+        assert seen == [x or "" for x in texts]

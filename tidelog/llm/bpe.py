@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tidelog.llm import text as tx
 from tidelog.llm.pretoken import Memo, split
+from tidelog.sources.tables import file_to_send
 
 #: Pre-tokens that a worker remembers in a generation; two generations are some 100 MB.
 MEMO_SIZE = 220_000
@@ -155,8 +156,7 @@ def codec_of(content: bytes) -> Codec:
 
 def _mapped(docs: DataFrame, key: list[str], text: str, ranks_path: str, ddl: str, make: Callable) -> DataFrame:
     """key columns and those of ``ddl``, which ``make(codec, texts)`` gives for some texts."""
-    with open(ranks_path, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one rank file, under 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(file_to_send(ranks_path))
     rows = docs.select(F.col(text).cast("string").alias("__text"), *[F.col(k) for k in key])
     schema = T.StructType(rows.select(*key).schema.fields + T.StructType.fromDDL(ddl).fields)
 
@@ -186,8 +186,7 @@ def encode(docs: DataFrame, ranks_path: str, key: list[str] | tuple[str, ...] =
 
 def decode(encoded: DataFrame, ranks_path: str, key: list[str] | tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """The key columns and ``decoded``, the bytes of the ids; null ids give no bytes."""
-    with open(ranks_path, "rb") as f:
-        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
+    shared = encoded.sparkSession.sparkContext.broadcast(file_to_send(ranks_path))
     rows = encoded.select(F.col(ids).alias("__ids"), *key)
     schema = T.StructType(rows.select(*key).schema.fields + [T.StructField("decoded", T.BinaryType())])
 

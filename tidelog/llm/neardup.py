@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as tx
-from tidelog.sources.tables import written
+from tidelog.sources.tables import discard, written
 
 #: Words in a shingle; registers; registers in a band and bands; similarity from which texts are linked.
 SHINGLE, REGISTERS, BAND, BANDS, THRESHOLD = 3, 256, 4, 48, 0.5
@@ -327,7 +327,8 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(lowest, "v")
         small_star = moved.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(lowest.select("v", F.col("m").alias("u"))).where("u < v").distinct()
-        edges = written(small_star, "edges")
+        replaced, edges = edges, written(small_star, "edges")
+        discard(replaced)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -79,6 +79,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op7_substring_dedup"] = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+p as (select doc_id, len(words) as n_words, unnest(words) as word, generate_subscripts(words, 1) as i from w),
+g as (select doc_id, n_words, word, i, case when i + 34 <= n_words then string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 34 following) end as gram from p),
+t as (select gram from g where gram is not null group by gram having count(*) > 1),
+m as (select g.doc_id, g.n_words, g.word, g.i, max(case when t.gram is not null then 1 else 0 end) over (partition by g.doc_id order by g.i rows between 34 preceding and current row) as gone from g left join t on g.gram = t.gram),
+k as (select doc_id, sum(gone) as n_removed, coalesce(string_agg(word, ' ' order by i) filter (gone = 0), '') as kept from m group by doc_id)
+select w.doc_id, cast(len(w.words) as bigint) as n_words, cast(coalesce(k.n_removed, 0) as bigint) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from w left join k using (doc_id)
+"""
+
+
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classify(table(spark, sf_dir, "documents"))

@@ -26,8 +26,9 @@ def steps(batches, column: str | int = "text", limit: int = STEP_BYTES) -> Itera
             continue
         col = batch.column(column)
         if col.null_count:
-            col = pc.fill_null(col, b"" if pa.types.is_binary(col.type) else "")
-        off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+            col = pc.fill_null(col, b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
+        wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+        off = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
         data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
         at = 0
         while at < batch.num_rows:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import text as tx
 from tidelog.llm.pretoken import split_sure, sure
 from tidelog.plans.positions import bucket_of, quantile_cuts, unit, with_running
-from tidelog.sources.tables import scratch
+from tidelog.sources.tables import file_to_send, scratch
 
 END_ID = 2
 #: Documents that one writing task takes, and ids that one file may hold (a longer document has its own file).
@@ -228,8 +228,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, key:
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
-    with open(tokenizer_path, "rb") as f:
-        shared = spark.sparkContext.broadcast(f.read())  # one tokenizer file, under 2 MB
+    shared = spark.sparkContext.broadcast(file_to_send(tokenizer_path))
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).cast("string").alias("text"))
 
     def encode(batches):
