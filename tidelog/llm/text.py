@@ -35,10 +35,10 @@ def steps(batches, column: str | int = "text", limit: int = STEP_BYTES) -> Itera
             end = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
             yield batch.slice(at, end - at), data[off[at] : off[end]], off[at : end + 1] - off[at]
             at = end
-    _trim()
+    trim()
 
 
-def _trim() -> None:
+def trim() -> None:
     """Gives freed memory back, since a worker waits for its next task with what it has."""
     try:
         ctypes.CDLL(None).malloc_trim(0)

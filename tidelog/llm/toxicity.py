@@ -146,8 +146,9 @@ def _run_hashes(a: np.ndarray) -> np.ndarray:
 def _chunks(texts: list[bytes]):
     """Runs of some texts end to end, with RUN zero bytes between texts, and a mask of those without a zero byte."""
     gap = np.zeros(2 * RUN, np.uint8)
-    for i in range(0, len(texts), 200):
-        a = np.concatenate([gap, *[x for t in texts[i : i + 200] for x in (_squeezed(t), gap)]])
+    ends = np.cumsum([len(t) for t in texts]) // tx.STEP_BYTES  # texts whose ends lie in one step, or a longer one
+    for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+        a = np.concatenate([gap, *[x for i in some for x in (_squeezed(texts[i]), gap)]])
         clear = np.cumsum(np.concatenate(([0], a == 0)))
         yield _run_hashes(a), clear[RUN:] == clear[:-RUN]
 
@@ -244,12 +245,12 @@ def fit(sample: list[tuple[int, bytes]], share: float | None = None) -> Model:
     ordinary, toxic = cut[0][: at[0]], cut[1][: at[1]]
     if not ordinary or not toxic:
         return Model(b"", b"", ())
-    windows: list[tuple[int, int, int]] = []
-    for i, x in enumerate(ordinary):
-        start, length, _ = _windows(*_joined([x]), 2 * WINDOW)
-        windows += [(i, s, n) for s, n in zip(start.tolist(), length.tolist())]
-    chosen = rng.sample(windows, min(MAX_SAMPLES, len(windows)))
+    windows = [np.stack([np.full(len(start), i), start, length], 1) for i, x in enumerate(ordinary) for start, length, _ in [_windows(*_joined([x]), 2 * WINDOW)]]
+    cuts = np.concatenate(windows)
+    chosen = cuts[rng.sample(range(len(cuts)), min(MAX_SAMPLES, len(cuts)))].tolist()
+    del windows, cuts
     model = Model(_trained(ORDINARY_BYTES, [ordinary[i][s : s + n] for i, s, n in chosen], 64), _covering(toxic, ordinary, TOXIC_BYTES), ())
+    tx.trim()
     if not model.toxic:
         return model
     rest = [(1, x) for x in cut[1][at[1] :]] + [(0, x) for x in cut[0][at[0] :]]
@@ -292,7 +293,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
             raise ValueError(f"every text with label {y} is longer than the sample's {MAX_SAMPLE_BYTES // 2} bytes")
     chosen = docs.sparkSession.createDataFrame(sizes.filter(pa.array(fits, pa.bool_())).select(["y", "k", "x"]), once.select("y", "k", "x").schema)
     sample = once.join(F.broadcast(chosen), ["y", "k", "x"]).select("y", "t").toArrow()
-    return list(zip(sample.column("y").to_pylist(), sample.column("t").to_pylist())), known.agg(F.avg("y")).first()[0]
+    rows = list(zip(sample.column("y").to_pylist(), sample.column("t").to_pylist()))
+    del sample
+    pa.default_memory_pool().release_unused()
+    tx.trim()
+    return rows, known.agg(F.avg("y")).first()[0]
 
 
 _SCORERS: dict[int, Scorer] = {}
