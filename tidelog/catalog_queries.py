@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidelog.engine import metrics
 from tidelog.functions import scalars
-from tidelog.model import BLOB, DELETE, FAST, INSERT, INT, STR, Aggregate, Get, Link, Range, Scan
+from tidelog.model import BLOB, DELETE, FAST, INSERT, INT, LOG_SCHEMA, STR, Aggregate, Get, Link, Range, Scan
 from tidelog.operators import archive, facade, history, ops_records, state, textindex
 from tidelog.plans import batch
 from tidelog.sources import codec, storage
@@ -727,11 +727,21 @@ def u02_column_closure(spark, sf_dir):
 # Streaming
 
 
-def _landed(spark, sf_dir, files: int) -> tuple[str, StateTable]:
-    log = stored_events(spark, sf_dir)
+#: Commands in one file of a landing folder, at most (as the range partitioner samples them).
+ROWS_A_FILE = 250_000
+
+
+def _land(spark, log: Log, batches: int) -> tuple[str, int]:
+    """A landing folder with the commands of a log for so many micro-batches, and how many files each takes: two, or as
+    many times two as keep a file below ROWS_A_FILE, so files grow in number and not in size."""
+    files = 2 * max(1, -(-log.df.count() // (batches * 2 * ROWS_A_FILE)))
     landing = scratch(spark, "landing")
-    log.repartitionByRange(files, "seq").write.parquet(landing)
-    return landing, StateTable(spark, scratch(spark, "state"), log.schema, fold_after=3)
+    logs.to_commands(Log(log.df.repartitionByRange(batches * files, "seq"), log.families)).write.parquet(landing)
+    return landing, files
+
+
+def _state_table(spark) -> StateTable:
+    return StateTable(spark, scratch(spark, "state"), LOG_SCHEMA, fold_after=3)
 
 
 def _stream_state(found: StateTable) -> DataFrame:
@@ -740,22 +750,22 @@ def _stream_state(found: StateTable) -> DataFrame:
 
 @query(f"with {STATE} {_STATE_SQL} from S")
 def st01_micro_batches(spark, sf_dir):
-    landing, found = _landed(spark, sf_dir, 6)
-    ingest(landing, found, scratch(spark, "offsets"), files_per_batch=2)
-    for old in sorted(f for f in storage.Files(spark, landing).names() if f.endswith(".parquet"))[:2]:
-        found.merge(spark.read.schema(found.schema).parquet(f"{landing}/{old}"), 10**6, old)  # old batches come again, late
+    (landing, files), found = _land(spark, event_log(spark, sf_dir), 3), _state_table(spark)
+    ingest(landing, found, scratch(spark, "offsets"), files_per_batch=files)
+    names = sorted(f for f in storage.Files(spark, landing).names() if f.endswith(".parquet"))
+    for old in filter(None, (names[: files // 2], names[files // 2 : files])):
+        found.merge(spark.read.schema(found.schema).parquet(*[f"{landing}/{f}" for f in old]), 10**6, old[0])  # old batches come again, late
     return _stream_state(found)
 
 
 @query(f"with {STATE} {_STATE_SQL} from S")
 def st01_two_sources(spark, sf_dir):
     """Two landing folders with checkpoints of their own, the second with the older commands, in one table."""
-    log = stored_events(spark, sf_dir)
-    found = StateTable(spark, scratch(spark, "state"), log.schema, fold_after=3)
+    log = event_log(spark, sf_dir)
+    found = _state_table(spark)
     for half in (1, 0):
-        landing = scratch(spark, "landing")
-        log.where(F.col("seq") % 2 == half).repartitionByRange(4, "seq").write.parquet(landing)
-        ingest(landing, found, scratch(spark, "offsets"), files_per_batch=2)
+        landing, files = _land(spark, Log(log.df.where(F.col("seq") % 2 == half), log.families), 2)
+        ingest(landing, found, scratch(spark, "offsets"), files_per_batch=files)
     found.fold()
     found.vacuum()
     return _stream_state(found)
@@ -763,6 +773,6 @@ def st01_two_sources(spark, sf_dir):
 
 @query(f"with {STATE} {_STATE_SQL} from S")
 def st02_stateful_latest(spark, sf_dir):
-    landing, found = _landed(spark, sf_dir, 4)
-    run_stateful(landing, found, scratch(spark, "offsets"), files_per_batch=2)
+    (landing, files), found = _land(spark, event_log(spark, sf_dir), 2), _state_table(spark)
+    run_stateful(landing, found, scratch(spark, "offsets"), files_per_batch=files)
     return _stream_state(found)

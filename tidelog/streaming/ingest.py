@@ -10,13 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
 from functools import partial
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tidelog.sources.storage import Files
@@ -107,22 +104,17 @@ def follow(landing: str, table: StateTable, checkpoint: str, trigger: dict, file
 
 
 def latest_by_state(stream: DataFrame, schema: StructType) -> DataFrame:
-    """The same by a stateful operator: a row for an entity whenever its last command changes."""
-    names = schema.names
-    state_schema = StructType([schema["seq"]])
-
-    def update(key: tuple, rows: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        seen = kept.get[0] if kept.exists else None
-        best = None
-        for part in rows:
-            row = part.loc[[part["seq"].idxmax()]]
-            if best is None or row["seq"].iloc[0] > best["seq"].iloc[0]:
-                best = row
-        if best is not None and (seen is None or best["seq"].iloc[0] > seen):
-            kept.update((int(best["seq"].iloc[0]),))
-            yield best[names]
-
-    return stream.groupBy("entity_id").applyInPandasWithState(update, schema, state_schema, "update", GroupStateTimeout.NoTimeout)
+    """The same by a stateful operator: a row for an entity whenever its last command changes.
+
+    A streaming aggregation: a micro-batch is reduced before the shuffle, and the state is each entity's last command with
+    the time of its micro-batch, which tells whether it is a new one. Of equal seqs the one that came first stays.
+    """
+    now = F.current_timestamp()  # one value in a micro-batch, the same when it is replayed
+    rest = [F.col(f"`{c}`") for c in schema.names if c != "entity_id"]
+    order = F.struct(F.col("seq"), (-F.unix_micros("__at")).alias("earlier"))
+    last = F.max_by(F.struct(F.struct(*rest).alias("row"), F.col("__at").alias("at")), order)
+    changed = stream.withColumn("__at", now).groupBy("entity_id").agg(last.alias("last")).where(F.col("last.at") == now)
+    return changed.select("entity_id", "last.row.*").select(*schema.names)
 
 
 def run_stateful(landing: str, table: StateTable, checkpoint: str, files_per_batch: int = 8):
